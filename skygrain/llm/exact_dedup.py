@@ -78,10 +78,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sha2("_norm", 256).alias("_sha"),
     )
     small = cut(found, "exact-runs")
-    # One row per range of a group that a splitter cuts: at most one for each splitter and side of it.
+    # One row per range of a group that a splitter cuts: at most two for each splitter, so the broadcast is bounded by the partitions.
     best = F.min(F.struct((-F.col("_len")).alias("l"), F.col("_id").alias("d"), F.col("_part").alias("part")))
     merged = small.filter("_split AND _rn = 1").groupBy(F.col("_sha").alias("_msha")).agg(best.alias("_best"), F.sum("_n").alias("_total"))
-    joined = small.join(merged, (F.col("_split")) & (F.col("_sha") == F.col("_msha")), "left")
+    joined = small.join(F.broadcast(merged), (F.col("_split")) & (F.col("_sha") == F.col("_msha")), "left")
     whole = F.col("_total").isNotNull()
     return joined.select(
         F.col("_id").alias(id_col),
