@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, secrets
+from . import cap_filters, exact_dedup, line_dedup, packing, records, secrets, simhash
 from .common import read_table
+from .tokens import default_path
 
 
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), default_path(), capacity=2048)
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_records(spark, sf_dir):
+    out_dir, manifest = records.write_records(read_table(spark, sf_dir, "documents"), default_path())
+    return records.read_records(spark, out_dir, manifest, with_ids=False)
+
+
+def op7_simhash_near_dedup(spark, sf_dir):
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=4, radius=4).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_embedding_near_dedup(spark, sf_dir):
+    return cap_filters.cap_links(read_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op5_exact_dedup, op6_token_records, op7_simhash_near_dedup, op9_embedding_near_dedup, op10_secret_scan)}
 
 ORACLES = {"op1_line_dedup": line_dedup.oracle_sql(), "op5_exact_dedup": exact_dedup.ORACLE_SQL}
