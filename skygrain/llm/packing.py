@@ -33,7 +33,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_co
                 ids = tok.ids32(text.as_py(), end_id)
                 for i, (start, length) in enumerate(piece_bounds(len(ids), capacity)):
                     part = ids[start : start + length]
-                    for k, v in zip(rows, (key, i, start, length, crc32_u32(part), part.astype("i4"))):
+                    for k, v in zip(rows, (key, i, start, length, crc32_u32(part), part.astype("i4") if with_ids else None)):
                         rows[k].append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds)})

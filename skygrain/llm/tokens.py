@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 
@@ -24,32 +26,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    """Ids of ' ' + piece as bytes, made when first asked for."""
+class _Kept(dict):
+    """Values made when first asked for, in two generations: once the younger is full it becomes the elder, and what is not asked for again goes."""
 
-    def __init__(self, owner: WordTokenizer):
+    def __init__(self, make, most: int, longest: int = 48):
         super().__init__()
-        self.owner = owner
+        self.make, self.most, self.longest, self.elder = make, most, longest, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.owner._piece(" " + piece)
-        if len(piece) <= 48:
-            if len(self) >= self.owner.max_words:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value = self.elder.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordTokenizer:
     """Encodes whole texts to little-endian ids, exactly as the library's encode without special tokens.
 
     A space before a visible character always starts a new word under the splitting rule, so ids of
-    the words between spaces can be kept and joined. At most ``max_words`` words are kept. Files of
+    the words between spaces can be kept and joined. At most ``2 * max_words`` are kept. Files of
     another kind, and texts that hold an added token or odd white space, are encoded by the library
     as a whole.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -63,34 +69,36 @@ class WordTokenizer:
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         simple = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("byte_fallback") and not model.get("dropout")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.max_words = max_words
-        self.words: _Pieces | None = None
-        if simple:
+        self.words: _Kept | None = None
+        if simple and sys.byteorder == "little":
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
             self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
             self.letters = _byte_letters()
+            self.space = self.letters[32]
             self.split = regex.compile(PRETOKENS).findall
-            self.short: dict[str, bytes] = {}
-            self.words = _Pieces(self)
+            self.short = _Kept(self._token, max_words)
+            self.words = _Kept(lambda piece: self._piece(" " + piece), max_words)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _token(self, word: str) -> bytes:
-        ids = self.short.get(word)
-        if ids is None:
+        if word.isascii() and word[1:].isalnum():
+            shown = self.space + word[1:] if word[0] == " " else word
+        else:
             shown = word.encode().decode("latin-1").translate(self.letters)
-            ids = np.asarray([t.id for t in self.model.tokenize(shown)], dtype=self.dtype).tobytes()
-            if len(word) <= 48:
-                if len(self.short) >= self.max_words:
-                    self.short.clear()
-                self.short[word] = ids
-        return ids
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not _PLAIN.fullmatch(piece):
+        if not (piece.isascii() or _PLAIN.fullmatch(piece)):
             return self._library(piece)
-        return b"".join(map(self._token, self.split(piece)))
+        # A space and letters are one word of the splitting rule, and a stop or comma after them another.
+        spaced = piece[0] == " "
+        if spaced and piece[1:].isalpha():
+            return self.short[piece]
+        if spaced and piece[1:-1].isalpha() and piece[-1] in ".,":
+            return self.short[piece[:-1]] + self.short[piece[-1]]
+        return b"".join(map(self.short.__getitem__, self.split(piece)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
