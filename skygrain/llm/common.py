@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -74,3 +75,19 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def least_hash_sample(ids: DataFrame, label: str, counts: dict, most: int) -> DataFrame:
+    """At most ``most`` rows of each label, by least hash of ``_id``; ``counts`` has the rows of each label.
+
+    A threshold on the hash first leaves about ``most`` rows a label where they are read, so ranking
+    them shuffles little however many rows a label has.
+    """
+    span = 1 << 40
+    keep = F.lit(False)
+    for value, n in counts.items():
+        share = min(1.0, (1.2 * most + 50) / max(1, n))
+        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("_h") < int(span * share)))
+    few = ids.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(span))).filter(keep)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "_id"))
+    return few.withColumn("_rn", rank).filter(F.col("_rn") <= most).drop("_h", "_rn")

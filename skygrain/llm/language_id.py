@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, least_hash_sample, ship
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -116,9 +116,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    common = [r["_lang"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_labels).collect()]
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = ids.filter(F.col("_lang").isin(common)).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= texts_per_label).select("_id").distinct() if common else ids.limit(0).select("_id")
+    common = {r["_lang"]: r["count"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_labels).collect()}
+    picked = cut(least_hash_sample(ids, "_lang", common, texts_per_label).select("_id").distinct(), "lang-sample")
     sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), F.col("id") == F.col("_id"), "left_semi")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

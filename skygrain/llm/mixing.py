@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, least_hash_sample, ship
 
 FEATURE_BITS = 15
 
@@ -71,8 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str =
     ship(docs.sparkSession)
     ids = labels.filter(F.col(id_col).isNotNull() & F.col(domain_col).isin(domains)).select(F.col(id_col).alias("_id"), F.col(domain_col).alias("domain"))
     total = {r["domain"]: r["count"] for r in ids.groupBy("domain").count().collect()}
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("_id"), "_id"))
-    picked = cut(ids.withColumn("_rn", rank).filter(F.col("_rn") <= texts_per_domain).dropDuplicates(["_id"]), "domain-sample")  # bounded, so the texts are filtered where they are read
+    picked = cut(least_hash_sample(ids, "domain", total, texts_per_domain).dropDuplicates(["_id"]), "domain-sample")  # bounded, so the texts are filtered where they are read
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("_id")).select("id", "text", "domain")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
