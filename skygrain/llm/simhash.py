@@ -15,6 +15,8 @@ from .common import cut, ship, shuffle_partitions
 from .components import components, contract
 
 BITS = 64
+#: So many ids (16 MB) are broadcast at most.
+BROADCAST_IDS = 2_000_000
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -176,9 +178,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near-duplicates, the one with the least id.
 
-    Rows with a null id, and further rows with a kept id, stay only if the id is distinct or null:
-    ids name documents. Columns stay as they are.
+    Ids name documents: all rows with a kept id stay, and rows with a null id stay. Columns stay as
+    they are.
     """
     groups = simhash_components(docs, id_col, text_col, words, radius)
-    stay = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col] == F.col("_stay"), "left_semi")
+    gone = cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "fp-gone")
+    # Ids alone, counted: below the limit texts stay where they are, beyond it both sides are shuffled.
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
