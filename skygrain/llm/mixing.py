@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, least_hash_sample, ship
@@ -102,8 +102,16 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, "id long, n_tokens long, p array<double>")
 
 
-def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, tolerance: float = 1e-6, total: float | None = None) -> DataFrame:
-    """Add ``rate`` >= 0 to rows with ``n_tokens`` and ``p`` so that sum(rate * n_tokens * p_d) comes to ``total`` * targets_d.
+def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
+    """The rate that the steps of ``fit_rates`` give to a posterior."""
+    r = F.lit(1.0)
+    for s in steps:
+        r = F.greatest(F.lit(0.0), sum((F.lit(float(x)) * F.get(p, F.lit(k)) for k, x in enumerate(s)), r))
+    return r
+
+
+def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, tolerance: float = 1e-6, total: float | None = None) -> list[np.ndarray]:
+    """Steps whose ``rate_of`` >= 0 for rows with ``n_tokens`` and ``p`` brings sum(rate * n_tokens * p_d) to ``total`` * targets_d.
 
     Projected gradient on the squared distance of the domain totals from their targets, from a rate of 1
     everywhere. A document's gradient is its posterior times the distances; the step is scaled by the
@@ -117,18 +125,12 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, toleranc
     p = [F.get("p", F.lit(k)) for k in range(d)]
     n = table.agg(F.sum("n_tokens")).first()[0] or 0
     if not n:
-        return table.withColumn("rate", F.lit(1.0))
+        return []
     share = F.col("n_tokens") / F.lit(float(n))
     scale = float(total) / n if total else 1.0
 
-    def rate(steps):
-        r = F.lit(1.0)
-        for s in steps:
-            r = F.greatest(F.lit(0.0), r + sum((F.lit(float(s[k])) * p[k] for k in range(1, d)), F.lit(float(s[0])) * p[0]))
-        return r
-
     def state(steps):
-        r = rate(steps)
+        r = rate_of(F.col("p"), steps)
         rows = table.select(share.alias("a"), r.alias("r"), *[p[k].alias(f"p{k}") for k in range(d)])
         sums = [F.sum(F.col("a") * F.col("r") * F.col(f"p{k}")) for k in range(d)]
         moments = [F.sum(F.when(F.col("r") > 0, F.col("a") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i in range(d) for j in range(i, d)]
@@ -153,7 +155,7 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, toleranc
             damp /= 2
             if damp < 1e-4:
                 break
-    return table.withColumn("rate", rate(steps))
+    return steps
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", **training) -> DataFrame:
@@ -166,20 +168,31 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     domains = sorted(targets)
     model = train(docs, labels, domains, id_col, text_col, domain_col, **training)
     table = cut(posteriors(docs, model, id_col, text_col), "posteriors")
-    rated = fit_rates(table, [targets[d] for d in domains])
+    rated = table.withColumn("rate", rate_of(F.col("p"), fit_rates(table, [targets[d] for d in domains])))
     return rated.select(F.col("id").alias(id_col), "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", **training) -> DataFrame:
     """The rows of ``docs`` as often as their rates say: the whole part always, the rest by a hash of the id.
 
-    A row without a rate (null id) stays once. Columns stay as they are.
+    Once the steps are fitted a rate depends on the text alone, so texts are judged again where they
+    are read and never joined or shuffled. Null ids draw like one id. Columns stay as they are.
     """
-    rates = mixing_rates(docs, labels, targets, id_col, text_col, domain_col, **training)
-    copies = cut(rates.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_rid")).agg(F.first("rate").alias("_rate")).select("_rid", F.floor(F.col("_rate") + draw_of("_rid")).cast("int").alias("_copies")), "copies")
-    joined = docs.join(copies, docs[id_col] == F.col("_rid"), "left")
-    times = F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)))
-    return joined.withColumn("_copy", F.explode(times)).select(*[docs[c] for c in docs.columns])
+    domains = sorted(targets)
+    model = train(docs, labels, domains, id_col, text_col, domain_col, **training)
+    table = cut(posteriors(docs, model, id_col, text_col).select("n_tokens", "p"), "posteriors")
+    steps = fit_rates(table, [targets[d] for d in domains])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def judge(text):
+        import pandas as pd
+
+        return pd.Series([shared.value.posterior(t)[0].tolist() for t in text])
+
+    judged = docs.withColumn("_p", judge(F.col(text_col).cast("string")))
+    times = F.floor(rate_of(F.col("_p"), steps) + draw_of(id_col)).cast("int")
+    return judged.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_p", "_copy")
 
 
 def draw_of(id_col: str):
