@@ -1,7 +1,9 @@
 """Archives as Spark data sources, and the fetch stage.
 
 ``spark.read.format("skygrain_archive")`` lists a date-partitioned archive, one input partition a part
-of time; filters on ``part_ts`` choose the parts before anything is listed. ``spark.readStream`` of it
+of time; the options ``start`` and ``end`` choose the parts before anything is listed. (Filters are
+not pushed down: Spark keeps one reader for a DataFrame, and a filter pushed into it by one query
+would narrow the next query on the same DataFrame.) ``spark.readStream`` of it
 is the poll: the offset is the next part, and a part that fails is not passed.
 """
 
@@ -13,7 +15,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..schemas import LEDGER, LISTING
 from .config import ARCHIVES
@@ -66,19 +68,6 @@ class _Reader(DataSourceReader):
     def __init__(self, s: dict):
         self.s, self.low, self.high = s, datetime.fromisoformat(s["start"]), datetime.fromisoformat(s["end"])
 
-    def pushFilters(self, filters):
-        """Bounds on part_ts choose parts; they are evaluated by Spark too."""
-        for f in filters:
-            name = getattr(f, "attribute", None)
-            value = getattr(f, "value", None)
-            if name == ("part_ts",) and isinstance(value, datetime):
-                value = value.replace(tzinfo=None)
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, value)
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high = min(self.high, value + timedelta(microseconds=1))
-            yield f
-
     def partitions(self):
         step, start = _STEP[self.s["layout"]], datetime.fromisoformat(self.s["start"])
         first = start + step * max(0, -(-(self.low - start) // step))
