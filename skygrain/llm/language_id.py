@@ -58,7 +58,9 @@ class ByteConvNet:
         pooled = np.concatenate([self.pool(x[i : i + chunk]) for i in range(0, len(x), chunk)])
         return _softmax(np.maximum(pooled, 0) @ self.weights + self.bias)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 6) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 6, least_steps: int = 200) -> None:
+        """Adam on the cross-entropy; small samples are gone over more often, for ``least_steps`` steps at least."""
+        epochs = max(epochs, -(-least_steps * batch // max(1, len(x))))
         rng = np.random.default_rng(seed)
         params = [*self.tables, self.weights, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
