@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, ship, shuffle_partitions
-from .tokens import crc32_u32, tokenizer
+from .tokens import MAX_WORDS, crc32_u32, tokenizer
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -21,12 +21,12 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, rest)] if rest else []) + [(s, capacity) for s in range(rest, n, capacity)]
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
     """Tokenize whole texts, append ``end_id``, cut only documents longer than ``capacity``: one row a piece."""
     ship(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, max_words)
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -183,12 +183,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None, no
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Tokenize, cut and pack whole documents; one row a piece.
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
+    """Tokenize, cut and pack whole documents; one row a piece. ``max_words`` bounds the words a worker keeps.
 
     Null text is empty and gives the end id alone; rows repeated in full are packed each; null ids stay.
     Columns other than id and text are not carried. The pieces are written once, so nothing is
     tokenized twice.
     """
-    pieces = cut(cut_pieces(docs, tokenizer_path, capacity, id_col, text_col, end_id, with_ids), "pieces")
+    pieces = cut(cut_pieces(docs, tokenizer_path, capacity, id_col, text_col, end_id, with_ids, max_words), "pieces")
     return pack(pieces, capacity).withColumnRenamed("id", id_col)

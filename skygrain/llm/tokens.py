@@ -50,9 +50,9 @@ class WordTokenizer:
     """Encodes whole texts to little-endian ids, exactly as the library's encode without special tokens.
 
     A space before a visible character always starts a new word under the splitting rule, so ids of
-    the words between spaces can be kept and joined. At most ``2 * max_words`` are kept. Files of
-    another kind, and texts that hold an added token or odd white space, are encoded by the library
-    as a whole.
+    the words between spaces can be kept and joined. Two tables of at most ``2 * max_words`` words
+    each are kept, which changes memory and time but no result. Files of another kind, and texts
+    that hold an added token or odd white space, are encoded by the library as a whole.
     """
 
     def __init__(self, path: str, max_words: int = 500_000):
@@ -113,14 +113,17 @@ class WordTokenizer:
         return ids if end_id is None else np.append(ids, np.uint32(end_id))
 
 
-_made: dict[str, WordTokenizer] = {}
+#: Words kept at most in each of a tokenizer's tables and generations; up to four times as many in all.
+MAX_WORDS = 500_000
+_made: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer a file and worker process; its words stay from task to task."""
-    if path not in _made:
-        _made[path] = WordTokenizer(path)
-    return _made[path]
+def tokenizer(path: str, max_words: int = MAX_WORDS) -> WordTokenizer:
+    """One tokenizer a worker process, of the file and size asked for last; its words stay from task to task."""
+    if (path, max_words) not in _made:
+        _made.clear()
+        _made[path, max_words] = WordTokenizer(path, max_words)
+    return _made[path, max_words]
 
 
 def crc32_u32(ids: np.ndarray) -> int:
