@@ -18,6 +18,8 @@ from skygrain.llm.tokens import default_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has less than this mean probability over its windows is rejected.
 LEAST_LANGUAGE_SCORE = 0.35
+#: Words that a worker's tokenizer keeps a table: fewer than by default, since the workers hold four other stages' memory too.
+TOKENIZER_WORDS = 200_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenize and pack into sequences of 2048 ids; one row a piece."""
-    return packing.pack_documents(docs, default_path(), capacity=2048)
+    return packing.pack_documents(docs, default_path(), capacity=2048, max_words=TOKENIZER_WORDS)
 
 
 STAGES = [
