@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygrain.llm import language_id, line_dedup, mixing, packing, simhash
+from skygrain.llm import language_id, line_dedup, mixing, packing, shingles
 from skygrain.llm.common import cut, read_table
 from skygrain.llm.queries import TARGETS, domains_of
 from skygrain.llm.tokens import default_path
@@ -36,8 +36,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, at most 4 of 64 bits apart (0.9375 alike)."""
-    return simhash.simhash_dedup(docs.select(*COLUMNS), words=5, radius=4)
+    """One document of each group of near-duplicates stays: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return shingles.shingle_dedup(docs.select(*COLUMNS), words=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
