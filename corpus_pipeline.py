@@ -30,8 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that too many pages of a source share; ``n_chars`` follows the text."""
-    cleaned = line_dedup.line_dedup(docs.select(*COLUMNS), host_col="source")
+    """Drop lines that too many different pages of a source share; ``n_chars`` follows the text."""
+    cleaned = line_dedup.line_dedup(docs.select(*COLUMNS), host_col="source", distinct=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -19,7 +19,7 @@ def _keys(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(_lines(text), lambda x: F.regexp_replace(x, _EDGES, ""))), "")
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 3, distinct: bool = False) -> DataFrame:
     """(host, line, n_pages, host_pages) of each line on more than ``ratio`` of its host's pages and on ``min_pages`` at least.
 
     Counts run in two steps so that texts are never shuffled: a first pass counts 64-bit line hashes
@@ -27,29 +27,36 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
     whole lines behind those hashes, few for each host since their page counts sum to no more than
     the host's lines. Both are counted partially before the shuffle, so a hot host or line costs one
     row a task.
+
+    With ``distinct``, a host's pages of the same lines count as one page, in lines and totals alike,
+    so that copies of a document do not make its own lines boilerplate.
     """
-    pages = docs.select(F.col(host_col).alias("_host"), _keys(F.col(text_col)).alias("_keys"))
-    totals = cut(docs.groupBy(F.col(host_col).alias("_thost")).agg(F.count(F.lit(1)).alias("host_pages")), "line-hosts")
+    pages = docs.select(F.col(host_col).alias("_host"), _keys(F.col(text_col)).alias("_keys")).withColumn("_page", F.xxhash64("_keys"))
+    hashes = pages.select("_host", "_page", F.transform("_keys", lambda x: F.xxhash64(x)).alias("_hashes"))
+    if distinct:
+        hashes = cut(hashes.groupBy("_host", "_page").agg(F.first("_hashes").alias("_hashes")), "line-pages")
+    totals = cut(hashes.groupBy(F.col("_host").alias("_thost")).agg(F.count(F.lit(1)).alias("host_pages")), "line-hosts")
 
     def frequent(counted: DataFrame) -> DataFrame:
         return counted.filter(F.col("n_pages") >= min_pages).join(totals, F.col("_host").eqNullSafe(F.col("_thost"))).filter(F.col("n_pages") > F.lit(ratio) * F.col("host_pages")).drop("_thost")
 
-    hashed = pages.select("_host", F.explode(F.transform("_keys", lambda x: F.xxhash64(x))).alias("_hash"))
+    hashed = hashes.select("_host", F.explode("_hashes").alias("_hash"))
     hot = cut(frequent(hashed.groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("n_pages"))).select(F.col("_host").alias("_hhost"), F.col("_hash").alias("_hhash")), "line-hashes")
-    lines = pages.select("_host", F.explode("_keys").alias("line")).withColumn("_hash", F.xxhash64("line"))
+    lines = pages.select("_host", "_page", F.explode("_keys").alias("line")).withColumn("_hash", F.xxhash64("line"))
     lines = lines.join(hot, F.col("_host").eqNullSafe(F.col("_hhost")) & (F.col("_hash") == F.col("_hhash")), "left_semi")
+    lines = lines.select("_host", "line", "_page").distinct() if distinct else lines
     return frequent(lines.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("n_pages"))).withColumnRenamed("_host", "host")
 
 
-def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.05, min_pages: int = 3, distinct: bool = False) -> DataFrame:
     """Drop boilerplate lines from every text; other columns stay, ``n_lines`` and ``n_dropped`` are added.
 
     Lines end at ``\\n`` and are compared without ASCII white space at their ends; blank lines are
-    never dropped. A line repeated within a page counts once there. Rows with a null host form one
+    never dropped. ``distinct`` counts pages of the same lines once a host. A line repeated within a page counts once there. Rows with a null host form one
     host. Null and empty text become empty text of one blank line. An empty table gives an empty
     result; columns named as the added ones are replaced.
     """
-    found = boilerplate_lines(docs, host_col, text_col, ratio, min_pages)
+    found = boilerplate_lines(docs, host_col, text_col, ratio, min_pages, distinct)
     # A host has fewer than (its lines a page) / ratio such lines; the planner broadcasts this table if its files are small and sort-merges it else.
     bad = cut(found.groupBy(F.col("host").alias("_bhost")).agg(F.collect_list("line").alias("_bad")), "line-bad")
     joined = docs.join(bad, F.col(host_col).eqNullSafe(F.col("_bhost")), "left")
