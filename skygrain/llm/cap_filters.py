@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, sqrt
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +18,55 @@ class ProductCode:
     """Filter directions that are all pairs of codewords of two blocks of a randomly turned space.
 
     The number of directions follows the number of vectors so that each vector passes about
-    ``per_vector`` filters and each filter holds about ``per_filter`` of evenly spread vectors.
+    ``per_vector`` filters and each filter holds about ``per_filter`` of evenly spread vectors. A
+    vector that passes fewer than ``least`` (``per_vector`` if not given) takes its best ``least``.
     """
 
-    def __init__(self, dim: int, vectors: int, per_vector: float = 24, per_filter: float = 64, least: int = 6, seed: int = 11):
+    def __init__(self, dim: int, vectors: int, per_vector: float = 24, per_filter: float = 64, least: int | None = None, seed: int = 11, size: int | None = None, threshold: float | None = None):
         rng = np.random.default_rng([seed, dim])
-        self.dim, self.half, self.least = dim, max(1, dim // 2), least
-        self.size = int(min(1 << 15, max(16, ceil(sqrt(vectors * per_vector / per_filter)))))
+        self.dim, self.half, self.least = dim, max(1, dim // 2), int(per_vector) if least is None else least
+        self.size = size or int(min(1 << 15, max(16, ceil(sqrt(vectors * per_vector / per_filter)))))
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         words = [rng.standard_normal((self.size, d)) for d in (self.half, dim - self.half)]
         self.words = [w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / sqrt(2) for w in words]
-        share = min(0.5, per_vector / self.size**2)
-        self.threshold = NormalDist().inv_cdf(1 - share) / sqrt(dim)
+        self.threshold = self._calibrate(min(per_vector, self.size**2 / 2)) if threshold is None else threshold
+
+    def _calibrate(self, per_vector: float, sample: int = 192) -> float:
+        """The score that ``per_vector`` filters exceed on average, over random unit vectors: the code's own tail, which is shorter than a Gaussian's."""
+        x = np.random.default_rng([7, self.dim]).standard_normal((sample, self.dim))
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        # The best 64 * per_vector of each vector hold all that count, unless a few vectors have them all; they lie among its best codewords.
+        k = min(self.size, int(64 * per_vector))
+        s1, s2 = (np.sort(y, axis=1)[:, ::-1][:, :k] for y in (x[:, : self.half] @ self.words[0].T, x[:, self.half :] @ self.words[1].T))
+        low, high = -1.5, 1.5
+        for _ in range(24):
+            t = (low + high) / 2
+            n = sum(np.searchsorted(-b, a - t, side="right").sum() for a, b in zip(s1, s2)) / sample
+            low, high = (t, high) if n > per_vector else (low, t)
+        return low
+
+    def recall(self, cosine: float, pairs: int = 1000, seed: int = 3) -> float:
+        """Simulated: the share of random pairs at exactly ``cosine`` that have a filter in common."""
+        rng = np.random.default_rng([seed, self.dim])
+        u, w = rng.standard_normal((2, pairs, self.dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+        return float(np.mean([len(np.intersect1d(a, b, True)) > 0 for a, b in zip(self.decode(u), self.decode(cosine * u + sqrt(1 - cosine**2) * w))]))
+
+    @classmethod
+    def fitted(cls, dim: int, vectors: int, cosine: float, recall: float = 0.995) -> ProductCode:
+        """The cheapest code whose simulated recall at ``cosine`` holds: more filters a vector first, then fewer and so wider filters.
+
+        In few dimensions many vectors make filters narrower than a link; halved codes hold more vectors each.
+        """
+        size = None
+        while True:
+            for each in (24, 36, 48, 64):
+                code = cls(dim, vectors, each, size=size)
+                if dim < 2 or code.size <= 4 or cosine >= 1 or code.recall(cosine) >= recall:
+                    return code
+            size = code.size // 2
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """The filters that each row exceeds, sorted; a row that exceeds fewer than ``least`` gets its best ``least``."""
@@ -108,10 +144,11 @@ def cap_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     keyed = cut(rows.select("id", F.when(sound, F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)).alias("key"), F.when(sound, F.col("v")).alias("v")), "vectors")
     reps = cut(keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")), "vector-reps")
     dims = {r["dim"]: r["n"] for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    codes = {d: (d, n) for d, n in dims.items()}
+    fitted = [ProductCode.fitted(d, n, cosine) for d, n in dims.items()]
+    codes = {c.dim: {"dim": c.dim, "vectors": 0, "least": c.least, "size": c.size, "threshold": c.threshold} for c in fitted}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = {d: ProductCode(*x) for d, x in codes.items()}
+        made = {d: ProductCode(**x) for d, x in codes.items()}
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
