@@ -100,10 +100,11 @@ def _granules(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("granule_id"), "vec_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(8).alias("height"), F.lit(8).alias("width"), *at, F.col("embedding").alias("aot"), F.transform("embedding", lambda v: (F.abs(v) * F.lit(10.0).cast("float")).cast("float")).alias("unc"))
 
 
-def _stations(spark, sf_dir) -> DataFrame:
+def _stations(spark, sf_dir, every: bool) -> DataFrame:
+    """All suppliers, or those that the SQL of the registered queries takes."""
     s = table(spark, sf_dir, "supplier")
     lat, lon = 21.3 - F.pmod("s_suppkey", F.lit(13)) * F.lit(0.043), 104.93 + F.pmod("s_suppkey", F.lit(11)) * F.lit(0.047)
-    return s.filter("s_suppkey < 20").select(F.col("s_suppkey").cast("int").alias("station_id"), lat.alias("latitude"), lon.alias("longitude"))
+    return (s if every else s.filter("s_suppkey < 20")).select(F.col("s_suppkey").cast("int").alias("station_id"), lat.alias("latitude"), lon.alias("longitude"))
 
 
 _POINTS = """g AS (SELECT vec_id, embedding FROM embeddings),
@@ -115,15 +116,15 @@ _GATE = "SELECT station_id, vec_id, tag, CASE WHEN aot IS NULL OR isnan(aot) OR
 
 
 @query(f"WITH {_POINTS} SELECT station_id, vec_id, r AS row, c AS col, CAST(aot AS DOUBLE) AS aot FROM v")
-def raster_point_lookup(spark, sf_dir):
-    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir))
+def raster_point_lookup(spark, sf_dir, every=False):
+    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir, every))
     return found.select("station_id", F.col("granule_id").cast("long").alias("vec_id"), "row", "col", F.col("aot").cast("double").alias("aot"))
 
 
 @query(f"WITH {_POINTS} {_GATE}")
-def station_observations(spark, sf_dir):
-    """The flagship: each station's cell in every granule, gated at six thresholds."""
-    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir))
+def station_observations(spark, sf_dir, every=False):
+    """The flagship: each station's cell in every granule, gated at six thresholds; with ``every``, all stations, beyond what its SQL takes."""
+    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir, every))
     wide = found.withColumn("_t", F.explode(raster.thresholds()))
     return wide.select("station_id", F.col("granule_id").cast("long").alias("vec_id"), F.col("_t.tag").alias("tag"), raster.gate(F.col("aot"), F.col("unc"), F.col("_t.threshold")).alias("aot"))
 
