@@ -185,8 +185,10 @@ def station_time_pivot(spark, sf_dir):
     return wide.select("user_id", *[F.col(d).alias(f"AOT_{d}") for d in _DAYS])
 
 
-def _arrivals(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'error' AND user_id < 40").select("ts")
+def _arrivals(spark, sf_dir, every: bool) -> DataFrame:
+    """All arrivals, or those that the SQL of the registered queries takes."""
+    events = table(spark, sf_dir, "events")
+    return (events if every else events.filter("event_type = 'error' AND user_id < 40")).select("ts")
 
 
 _SPINE = """p AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'error' AND user_id < 40),
@@ -196,24 +198,24 @@ g AS (SELECT min(h) AS gap_start, max(h) AS gap_end, count(*) AS n FROM m GROUP
 
 
 @query(f"WITH {_SPINE} SELECT CAST(gap_start AS TIMESTAMP) AS gap_start, CAST(gap_end AS TIMESTAMP) AS gap_end, n FROM g WHERE n >= 6")
-def hour_gap_scan(spark, sf_dir):
-    return gaps.gaps(gaps.spine(_arrivals(spark, sf_dir), "ts"), 6)
+def hour_gap_scan(spark, sf_dir, every=False):
+    return gaps.gaps(gaps.spine(_arrivals(spark, sf_dir, every), "ts"), 6)
 
 
 @query("""WITH p AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS d FROM orders WHERE o_custkey % 5 = 0),
 s AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT min(d) AS lo, max(d) AS hi FROM p)),
 f AS (SELECT min(d) AS cut FROM s WHERE d NOT IN (SELECT d FROM p))
 SELECT CAST(d AS TIMESTAMP) AS part FROM p, f WHERE cut IS NULL OR d < cut""")
-def first_gap_prefix(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_custkey % 5 = 0")
-    return gaps.before_first_gap(gaps.spine(orders, "o_orderdate", "DAY"))
+def first_gap_prefix(spark, sf_dir, every=False):
+    orders = table(spark, sf_dir, "orders")
+    return gaps.before_first_gap(gaps.spine(orders if every else orders.filter("o_custkey % 5 = 0"), "o_orderdate", "DAY"))
 
 
 @query(f"WITH {_SPINE} SELECT CAST(coalesce((SELECT min(gap_start) FROM g WHERE n >= 24), (SELECT date_trunc('hour', max(ts)) FROM events) - INTERVAL 2 HOUR) AS TIMESTAMP) AS resume_at")
-def resume_cursor(spark, sf_dir):
+def resume_cursor(spark, sf_dir, every=False):
     as_of = table(spark, sf_dir, "events").agg(F.date_trunc("HOUR", F.max("ts")).alias("t")).first()["t"]
     end = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS")
-    return gaps.resume_at(gaps.spine(_arrivals(spark, sf_dir), "ts"), 24, end)
+    return gaps.resume_at(gaps.spine(_arrivals(spark, sf_dir, every), "ts"), 24, end)
 
 
 @query("SELECT event_id, ts FROM events, (SELECT date_trunc('hour', max(ts)) AS h FROM events) WHERE ts >= h - INTERVAL 2 HOUR AND ts < h")

@@ -20,3 +20,16 @@ def test_every_station_is_observed(spark, tmp_path):
         assert found[i] == ((r * 8 + c) / 64 if 0 <= r <= 7 and 0 <= c <= 7 else None), i
     gated = catalogue.station_observations(spark, str(tmp_path), every=True)
     assert gated.groupBy("station_id").agg(F.countDistinct("tag").alias("n")).filter("n = 6").count() == 30
+
+
+def test_gaps_of_all_arrivals(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    hours = [*range(0, 10), *range(20, 30), *range(60, 70)]  # gaps of 10 and 30 hours; the subset would have more
+    events = [(start + dt.timedelta(hours=h, minutes=h % 60), "error" if h % 3 else "view", h) for h in hours]
+    _put(spark, tmp_path, "events", events, "ts timestamp_ntz, event_type string, user_id long")
+    days = [d for d in range(20) if d != 12]
+    _put(spark, tmp_path, "orders", [(start + dt.timedelta(days=d), d) for d in days], "o_orderdate timestamp_ntz, o_custkey long")
+    found = catalogue.hour_gap_scan(spark, str(tmp_path), every=True).orderBy("gap_start").collect()
+    assert [(r.gap_start, r.n) for r in found] == [(start + dt.timedelta(hours=10), 10), (start + dt.timedelta(hours=30), 30)]
+    assert catalogue.resume_cursor(spark, str(tmp_path), every=True).first().resume_at == start + dt.timedelta(hours=30)
+    assert catalogue.first_gap_prefix(spark, str(tmp_path), every=True).count() == 12
