@@ -179,10 +179,12 @@ _DAYS = [f"202401{d:02d}" for d in range(1, 8)]
 
 
 @query("SELECT user_id, " + ", ".join(f"max(value) FILTER (WHERE strftime(ts, '%Y%m%d') = '{d}') AS AOT_{d}" for d in _DAYS) + " FROM events GROUP BY user_id")
-def station_time_pivot(spark, sf_dir):
+def station_time_pivot(spark, sf_dir, every=False):
+    """A column for each day of the events if ``every``, else for the days that the SQL lists."""
     events = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyyMMdd").alias("day"), "value")
-    wide = events.groupBy("user_id").pivot("day", _DAYS).agg(F.max("value"))
-    return wide.select("user_id", *[F.col(d).alias(f"AOT_{d}") for d in _DAYS])
+    days = [r["day"] for r in events.filter("day IS NOT NULL").select("day").distinct().orderBy("day").collect()] if every else _DAYS
+    wide = events.groupBy("user_id").pivot("day", days).agg(F.max("value"))
+    return wide.select("user_id", *[F.col(d).alias(f"AOT_{d}") for d in days])
 
 
 def _arrivals(spark, sf_dir, every: bool) -> DataFrame:

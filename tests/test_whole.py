@@ -33,3 +33,11 @@ def test_gaps_of_all_arrivals(spark, tmp_path):
     assert [(r.gap_start, r.n) for r in found] == [(start + dt.timedelta(hours=10), 10), (start + dt.timedelta(hours=30), 30)]
     assert catalogue.resume_cursor(spark, str(tmp_path), every=True).first().resume_at == start + dt.timedelta(hours=30)
     assert catalogue.first_gap_prefix(spark, str(tmp_path), every=True).count() == 12
+
+
+def test_pivot_has_every_day(spark, tmp_path):
+    start = dt.datetime(2024, 1, 5)
+    _put(spark, tmp_path, "events", [(d % 2, start + dt.timedelta(days=d), float(d)) for d in range(30)], "user_id long, ts timestamp_ntz, value double")
+    wide = catalogue.station_time_pivot(spark, str(tmp_path), every=True)
+    assert wide.columns == ["user_id", *[f"AOT_{start + dt.timedelta(days=d):%Y%m%d}" for d in range(30)]]
+    assert sum(v is not None for r in wide.collect() for v in r[1:]) == 30
