@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import logging
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +44,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_co
     return rows.mapInArrow(encode, "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-class _Completion:
-    """Branch and bound for the best filling around one item."""
+class _Greedy:
+    """The incumbent: the largest length's bin is completed as full as a bounded search can, again and again."""
 
     def __init__(self, counts: dict[int, int], sizes: list[int], nodes: int):
         self.counts, self.sizes, self.nodes = counts, sizes, nodes
@@ -51,14 +53,14 @@ class _Completion:
     def best(self, room: int) -> list[int]:
         """Lengths, largest first, that leave the least of ``room`` unused; among equals the one with larger items, which dominates."""
         self.left = self.nodes
-        self.found, self.waste = self._best_fit(room), 0
+        self.found = self._best_fit(room)
         self.waste = room - sum(self.found)
         if self.waste:
             self._search(room, bisect.bisect_right(self.sizes, room) - 1, [])
         return self.found
 
     def _best_fit(self, room: int) -> list[int]:
-        """The incumbent: again and again the largest item that fits."""
+        """Again and again the largest item that fits."""
         taken: dict[int, int] = {}
         out = []
         i = bisect.bisect_right(self.sizes, room) - 1
@@ -110,31 +112,165 @@ class _Completion:
             i -= 1
         return min(total, room)
 
+    def plan(self, capacity: int) -> list[tuple[int, list[int]]]:
+        out = []
+        while self.sizes:
+            top = self.sizes[-1]
+            self.counts[top] -= 1
+            filled = [top, *self.best(capacity - top)]
+            self.counts[top] += 1
+            need = {s: filled.count(s) for s in filled}
+            repeats = min(self.counts[s] // n for s, n in need.items())
+            for s, n in need.items():
+                self.counts[s] -= n * repeats
+                if not self.counts[s]:
+                    del self.counts[s]
+                    self.sizes.pop(bisect.bisect_left(self.sizes, s))
+            out.append((repeats, filled))
+        return out
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on the bins: for each k, items over ``capacity - k`` are alone, those over half never share, and items of k or more need what room is left beside them."""
+    n = np.zeros(capacity + 1, np.int64)
+    for s, c in counts.items():
+        n[s] = c
+    up, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone, paired = up[-1] - up[capacity - k], up[capacity - k] - up[half]
+    paired_sum = total[capacity - k] - total[half]
+    small = total[half] - np.r_[0, total][k]
+    more = -(-(small - (paired * capacity - paired_sum)) // capacity)
+    return int((alone + paired + np.maximum(more, 0)).max())
+
+
+class _Completion:
+    """Bin completion: branch over the undominated fillings around the largest remaining item, bounded by waste.
+
+    ``nodes`` bounds the work on the driver; ``complete`` tells whether the search ended by itself, so
+    that its plan is proved to be least.
+    """
+
+    #: With more bins than this left a filling is repeated while its lengths last, and few fillings of a bin are tried.
+    FEW, WIDTH = 64, 24
+
+    def __init__(self, counts: dict[int, int], capacity: int, plan: list, nodes: int):
+        self.counts, self.capacity, self.plan, self.left = dict(counts), capacity, plan, nodes
+        self.total = sum(s * n for s, n in counts.items())
+        self.best, self.lower = sum(n for n, _ in plan), least_bins(counts, capacity)
+        self.complete = True
+
+    def run(self) -> list[tuple[int, list[int]]]:
+        if self.best > self.lower:
+            self._branch(0, 0, [])
+        return self.plan
+
+    def _take(self, items: list[int], n: int) -> None:
+        for s in items:
+            self.counts[s] = self.counts.get(s, 0) - n
+            if not self.counts[s]:
+                del self.counts[s]
+
+    def _branch(self, used: int, waste: int, plan: list) -> bool:
+        """True to stop: the lower bound is reached or the nodes are used up."""
+        if not self.counts:
+            self.best, self.plan = used, list(plan)
+            return self.best <= self.lower
+        rest = least_bins(self.counts, self.capacity)
+        if used + rest >= self.best:
+            return False
+        self.left -= 1
+        if self.left < 0:
+            self.complete = False
+            return True
+        many = rest > self.FEW
+        top = max(self.counts)
+        self._take([top], 1)
+        options = self._fillings(self.capacity - top, (self.best - 1) * self.capacity - self.total - waste, many)
+        self._take([top], -1)
+        for unused, items in options:
+            filled = [top, *items]
+            n = min(self.counts[s] // filled.count(s) for s in filled) if many else 1
+            # A better incumbent since the fillings were listed leaves less to waste.
+            if waste + unused * n > (self.best - 1) * self.capacity - self.total:
+                continue
+            self._take(filled, n)
+            plan.append((n, filled))
+            stop = self._branch(used + n, waste + unused * n, plan)
+            plan.pop()
+            self._take(filled, -n)
+            if stop:
+                return True
+        if many:
+            self.complete = False  # neither all fillings nor all repeats were tried
+        return False
+
+    def _fillings(self, room: int, slack: int, many: bool) -> list[tuple[int, list[int]]]:
+        """(unused, lengths) of undominated fillings of ``room`` that leave ``slack`` at most, the fullest and largest first."""
+        sizes = sorted((s for s in self.counts if s <= room), reverse=True)
+        reach = np.cumsum([s * self.counts[s] for s in sizes][::-1])[::-1].tolist() + [0]
+        out: list[tuple[int, list[int]]] = []
+
+        def fill(i: int, room: int, items: list[int]) -> None:
+            if many and len(out) >= self.WIDTH or self.left < 0:
+                return
+            while i < len(sizes) and sizes[i] > room:
+                i += 1
+            if room - reach[i] > slack:
+                return
+            if i == len(sizes):
+                if self._undominated(items, room):
+                    out.append((room, list(items)))
+                return
+            self.left -= 1
+            s = sizes[i]
+            for n in range(min(room // s, self.counts[s]), -1, -1):
+                fill(i + 1, room - n * s, [*items, *[s] * n])
+
+        fill(0, room, [])
+        if self.left < 0:
+            self.complete = False
+        return sorted(out, key=lambda x: (x[0], [-s for s in x[1]]))
+
+    def _undominated(self, items: list[int], unused: int) -> bool:
+        """No length left over could replace items of the filling that sum to as much or up to ``unused`` less: the filling with it would dominate."""
+        sums: dict[int, bool] = {0: False}  # sum of a part: whether one of two items or more has it
+        for k, s in enumerate(items):
+            for t, several in list(sums.items()):
+                sums[t + s] = sums.get(t + s, False) or several or t > 0
+        for x, n in self.counts.items():
+            if n > items.count(x):
+                for t in range(x - unused, x + 1):
+                    if t in sums and (t < x or sums[t]):
+                        return False
+        return True
+
+
+class Plan(list):
+    """(repeats, lengths) of sequences; ``sequences`` and the lower bound ``least``; ``proved`` if no plan has fewer."""
+
+    def __init__(self, rows: list, least: int, complete: bool):
+        super().__init__(rows)
+        self.sequences, self.least = sum(n for n, _ in rows), least
+        self.proved = complete or self.sequences <= least
+
 
-def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 3000) -> list[tuple[int, list[int]]]:
+def plan_bins(histogram: dict[int, int], capacity: int, nodes: int = 20_000) -> Plan:
     """(repeats, lengths) of sequences that hold exactly the pieces of the histogram.
 
-    The largest remaining length is completed by branch and bound, and the filling is repeated while
-    its lengths last, so the work follows the number of distinct lengths (at most ``capacity``), not
-    of documents.
+    The incumbent completes the largest remaining length's bin as full as it can and repeats that filling
+    while its lengths last, so its work follows the number of distinct lengths (at most ``capacity``),
+    not of documents. Only where it needs more than the lower bound, bin completion branches over the
+    undominated fillings of each bin. ``nodes`` bounds that search, and a bin's search of the incumbent
+    by a seventh of it; whether the plan is proved to be least is told by the plan.
     """
     counts = {s: n for s, n in histogram.items() if n > 0}
-    sizes = sorted(counts)
-    plan = []
-    while sizes:
-        top = sizes[-1]
-        counts[top] -= 1
-        filled = [top, *_Completion(counts, sizes, nodes).best(capacity - top)]
-        counts[top] += 1
-        need = {s: filled.count(s) for s in filled}
-        repeats = min(counts[s] // n for s, n in need.items())
-        for s, n in need.items():
-            counts[s] -= n * repeats
-            if not counts[s]:
-                del counts[s]
-                sizes.pop(bisect.bisect_left(sizes, s))
-        plan.append((repeats, filled))
-    return plan
+    if not counts:
+        return Plan([], 0, True)
+    greedy = _Greedy(dict(counts), sorted(counts), max(1, nodes // 7)).plan(capacity)
+    search = _Completion(counts, capacity, greedy, nodes)
+    return Plan(search.run(), search.lower, search.complete)
 
 
 def _intervals(plan: list[tuple[int, list[int]]]) -> list[tuple]:
@@ -153,20 +289,24 @@ def _intervals(plan: list[tuple[int, list[int]]]) -> list[tuple]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None, nodes: int = 3000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, buckets: int | None = None, nodes: int = 20_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``id``, ``piece`` and ``length`` (1 to ``capacity``).
 
     Only the histogram, at most ``capacity`` rows, reaches the driver. Pieces of a length are numbered
     in salted buckets, so a length that most rows share is spread over tasks; the number finds the
     place in the plan. Sequences are filled without gaps from 0. Every row is placed once, repeated
-    rows too; an empty table gives an empty result.
+    rows too; an empty table gives an empty result. A plan that ``nodes`` kept from being proved least
+    is logged with its lower bound.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if any(s < 1 or s > capacity for s in histogram):
         raise ValueError("a piece is empty or longer than a sequence")
     schema = "p_length long, low long, high long, first long, copies long, base long"
-    places = F.broadcast(spark.createDataFrame(_intervals(plan_bins(histogram, capacity, nodes)), schema))  # bounded by the distinct lengths, whatever the rows
+    plan = plan_bins(histogram, capacity, nodes)
+    if not plan.proved:
+        logging.getLogger(__name__).warning("%d sequences, not proved least within %d nodes; the lower bound is %d", plan.sequences, nodes, plan.least)
+    places = F.broadcast(spark.createDataFrame(_intervals(plan), schema))  # bounded by the distinct lengths, whatever the rows
     n = buckets or 4 * shuffle_partitions(spark)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(n)).cast("int"))
     sums = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))

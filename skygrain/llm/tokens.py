@@ -11,6 +11,8 @@ from array import array
 
 import numpy as np
 
+from .common import release_memory
+
 # Fixed value: the splitting rule that byte-level BPE files of this family apply before merging.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space inside or at the end of white space: only there can a word's first space belong to the text before.
@@ -59,20 +61,18 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         simple = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("byte_fallback") and not model.get("dropout")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.words: _Kept | None = None
         if simple and sys.byteorder == "little":
-            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-            self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+            self.model = self.whole.model  # shared with the whole tokenizer, not a second one
             self.letters = _byte_letters()
             self.space = self.letters[32]
             self.split = regex.compile(PRETOKENS).findall
@@ -122,6 +122,7 @@ def tokenizer(path: str, max_words: int = MAX_WORDS) -> WordTokenizer:
     """One tokenizer a worker process, of the file and size asked for last; its words stay from task to task."""
     if (path, max_words) not in _made:
         _made.clear()
+        release_memory()
         _made[path, max_words] = WordTokenizer(path, max_words)
     return _made[path, max_words]
 
