@@ -28,6 +28,21 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *filter(None, paths)])
 
 
+def release_memory() -> None:
+    """Give what earlier stages left in a reused worker back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -40,8 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests in local mode) a folder of this machine is used.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="skygrain-"))
         named = _own_dir[0]
@@ -77,6 +94,23 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: So many rows of one id (16 MB) are broadcast at most.
+BROADCAST_IDS = 2_000_000
+
+
+def broadcast_ids(rows: DataFrame, width: int = 1) -> DataFrame:
+    """``rows`` of ``width`` longs marked for a broadcast if they are counted to be few; else left to be joined by shuffle and sort."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS // width else rows
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def least_hash_sample(ids: DataFrame, label: str, counts: dict, most: int) -> DataFrame:
     """At most ``most`` rows of each label, by least hash of ``_id``; ``counts`` has the rows of each label.
 
@@ -84,10 +118,11 @@ def least_hash_sample(ids: DataFrame, label: str, counts: dict, most: int) -> Da
     them shuffles little however many rows a label has.
     """
     span = 1 << 40
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, (1.2 * most + 50) / max(1, n))
-        keep = keep | ((F.col(label) == F.lit(value)) & (F.col("_h") < int(span * share)))
-    few = ids.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(span))).filter(keep)
+    kept = [(value, int(span * min(1.0, (1.2 * most + 50) / max(1, n)))) for value, n in counts.items()]
+    if not kept:
+        return ids.filter("false")
+    # One row a label; the caller bounds the labels.
+    shares = ids.sparkSession.createDataFrame(kept, ids.select(F.col(label).alias("_value"), F.lit(0).cast("long").alias("_share")).schema)
+    few = ids.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(span))).join(F.broadcast(shares), (F.col(label) == F.col("_value")) & (F.col("_h") < F.col("_share")))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", "_id"))
-    return few.withColumn("_rn", rank).filter(F.col("_rn") <= most).drop("_h", "_rn")
+    return few.withColumn("_rn", rank).filter(F.col("_rn") <= most).drop("_h", "_rn", "_value", "_share")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, least_hash_sample, ship
+from .common import cut, free_name, least_hash_sample, ship
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -56,7 +56,8 @@ class ByteConvNet:
 
     def posterior(self, x: np.ndarray, chunk: int = 64) -> np.ndarray:
         pooled = np.concatenate([self.pool(x[i : i + chunk]) for i in range(0, len(x), chunk)])
-        return _softmax(np.maximum(pooled, 0) @ self.weights + self.bias)
+        # In double precision, so that a probability hardly depends on the windows it is computed with.
+        return _softmax(np.maximum(pooled, 0).astype(float) @ self.weights.astype(float) + self.bias)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 6, least_steps: int = 200) -> None:
         """Adam on the cross-entropy; small samples are gone over more often, for ``least_steps`` steps at least."""
@@ -89,16 +90,37 @@ class ByteConvNet:
                     v += 0.01 * (g * g - v)
                     p -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest label over all windows of the text, weighted by their bytes, and its mean probability."""
-        if not self.labels or not text or next(filter(str.isalpha, text), None) is None:
-            return UNKNOWN, 0.0
-        x, weight = windows(text)
-        mean = np.zeros(len(self.labels))
-        for i in range(0, len(x), 4096):
-            mean += weight[i : i + 4096] @ self.posterior(x[i : i + 4096])
-        mean /= weight.sum()
-        return self.labels[int(mean.argmax())], float(min(1.0, mean.max()))
+    def predict(self, texts: list[str | None], held: int = 2048) -> list[tuple[str, float]]:
+        """The likeliest label of each text over all its windows, weighted by their bytes, and its mean probability.
+
+        Windows of many texts go through the network together, ``held`` at a time; a text of any length
+        adds to its own sums part by part.
+        """
+        sums, weights = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        x, w, owner, n = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal n
+            if n:
+                np.add.at(sums, np.concatenate(owner), np.concatenate(w)[:, None] * self.posterior(np.concatenate(x)))
+                x.clear(), w.clear(), owner.clear()
+                n = 0
+
+        for k, text in enumerate(texts):
+            if not self.labels or not text or next(filter(str.isalpha, text), None) is None:
+                continue
+            own, weight = windows(text)
+            weights[k] = weight.sum()
+            for i in range(0, len(own), held):
+                x.append(own[i : i + held])
+                w.append(weight[i : i + held])
+                owner.append(np.full(len(x[-1]), k))
+                n += len(x[-1])
+                if n >= held:
+                    flush()
+        flush()
+        best = sums.argmax(axis=1) if self.labels else np.zeros(len(texts), int)
+        return [(self.labels[b], float(min(1.0, sums[k, b] / weights[k]))) if weights[k] else (UNKNOWN, 0.0) for k, b in enumerate(best)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -110,15 +132,20 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string")), F.lit(folds))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_label: int = 400, windows_per_text: int = 6, max_labels: int = 200) -> ByteConvNet:
-    """Fit on a bounded sample: at most ``texts_per_label`` texts (least hash of the id) of each of the ``max_labels`` commonest labels, ``windows_per_text`` windows of each.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts_per_label: int = 400, windows_per_text: int = 6, max_texts: int = 80_000) -> ByteConvNet:
+    """Fit on a bounded sample: at most ``texts_per_label`` texts (least hash of the id) of every label, ``windows_per_text`` windows of each.
 
-    Rows with a null id, text or label are not learned from. Without any labelled row the net knows no label.
+    Many labels share ``max_texts``, each with one text at least; more labels than that are an error, so
+    no label is left out unsaid. Rows with a null id, text or label are not learned from, and a label
+    whose sampled texts have no letter is not known. Without any labelled row the net knows no label.
     """
     ship(labelled.sparkSession)
     rows = labelled.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    common = {r["_lang"]: r["count"] for r in ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_labels).collect()}
+    common = {r["_lang"]: r["count"] for r in ids.groupBy("_lang").count().limit(max_texts + 1).collect()}
+    if len(common) > max_texts:
+        raise ValueError(f"more than {max_texts} labels")
+    texts_per_label = max(1, min(texts_per_label, max_texts // max(1, len(common))))
     picked = cut(least_hash_sample(ids, "_lang", common, texts_per_label).select("_id").distinct(), "lang-sample")
     sample = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(picked), F.col("id") == F.col("_id"), "left_semi")
 
@@ -143,17 +170,21 @@ def predict(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataFr
     """Add ``lang_pred`` and ``score`` to every row.
 
     Whole texts are read in fixed windows that overlap by the widest filter less one. Text that is null
-    or has no letter gets ``und`` and 0. Other columns stay; equally named ones are replaced.
+    or has no letter gets ``und`` and 0. Ties go to the first label in order. Repeated rows and null ids
+    stay; other columns stay, those named ``lang_pred`` and ``score`` are replaced. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(net)  # a few hundred kB, whatever the input
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def guess(text):
-        import pandas as pd
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def guess(text: pa.Array) -> pa.Array:
+        got = []
+        for i in range(0, len(text), 256):
+            got += shared.value.predict(text.slice(i, 256).to_pylist())
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang", "score"])
 
-        return pd.DataFrame([shared.value.predict(t) for t in text], columns=["lang", "score"])
-
-    out = docs.withColumn("_guess", guess(F.col(text_col).cast("string")))
-    return out.withColumns({"lang_pred": F.col("_guess.lang"), "score": F.col("_guess.score")}).drop("_guess")
+    name = free_name(docs, "guess")
+    out = docs.withColumn(name, guess(F.col(text_col).cast("string")))
+    return out.withColumns({"lang_pred": F.col(f"{name}.lang"), "score": F.col(f"{name}.score")}).drop(name)
