@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
+#: Boilerplate lines of all hosts are broadcast up to so many bytes; beyond it pages and lines are shuffled by host, a hot host's pages in parts.
+BROADCAST_BYTES = 64 << 20
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -52,19 +56,28 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     """Drop boilerplate lines from every text; other columns stay, ``n_lines`` and ``n_dropped`` are added.
 
     Lines end at ``\\n`` and are compared without ASCII white space at their ends; blank lines are
-    never dropped. ``distinct`` counts pages of the same lines once a host. A line repeated within a page counts once there. Rows with a null host form one
-    host. Null and empty text become empty text of one blank line. An empty table gives an empty
-    result; columns named as the added ones are replaced.
+    never dropped. ``distinct`` counts pages of the same lines once a host. A line repeated within a
+    page counts once there. Rows with a null host form one host; null ids and repeated rows stay and
+    count as pages. Null and empty text become empty text of one blank line. An empty table gives an
+    empty result; columns named as the added ones are replaced, all others stay whatever their names.
     """
-    found = boilerplate_lines(docs, host_col, text_col, ratio, min_pages, distinct)
-    # A host has fewer than (its lines a page) / ratio such lines; the planner broadcasts this table if its files are small and sort-merges it else.
-    bad = cut(found.groupBy(F.col("host").alias("_bhost")).agg(F.collect_list("line").alias("_bad")), "line-bad")
-    joined = docs.join(bad, F.col(host_col).eqNullSafe(F.col("_bhost")), "left")
+    found = cut(boilerplate_lines(docs, host_col, text_col, ratio, min_pages, distinct), "line-found")
+    host, bad, kept, hit = (free_name(docs, x) for x in ("host_of_lines", "bad_lines", "kept_lines", "hit_lines"))
+    # A host has fewer than (its lines a page) / ratio such lines.
+    line = F.struct(F.xxhash64("line").alias("hash"), "line")
+    lists = cut(found.groupBy(F.col("host").alias(host)).agg(F.collect_list(line).alias(bad)), "line-bad")
+    few = (found.agg(F.sum(F.octet_length("line") + 32).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES
+    joined = docs.join(F.broadcast(lists) if few else lists, F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = _lines(F.col(text_col))
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), F.regexp_replace(x, _EDGES, ""))))
-    out = joined.withColumn("_kept", kept)
+    trimmed = lambda x: F.regexp_replace(x, _EDGES, "")
+    # Hashes first, by a hash set of each page: only lines whose hash is a boilerplate line's are compared with the lines behind it.
+    hits = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(trimmed(x))), F.col(f"{bad}.hash"))
+    found_lines = F.transform(F.array(hits), lambda own: F.filter(F.col(bad), lambda x: F.array_contains(own, x["hash"]))["line"])  # an array of one, so that the hits are found once a page
+    joined = joined.withColumn(hit, F.when(F.col(bad).isNotNull(), F.get(found_lines, F.lit(0))))
+    good = F.when(F.coalesce(F.size(hit), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(hit), trimmed(x))))
     n = F.size(lines).cast("long")
-    return out.withColumns({"n_lines": n, "n_dropped": n - F.size("_kept"), text_col: F.array_join("_kept", "\n")}).drop("_kept", "_bad", "_bhost")
+    out = joined.withColumn(kept, good)
+    return out.withColumns({"n_lines": n, "n_dropped": n - F.size(kept), text_col: F.array_join(kept, "\n")}).drop(kept, bad, host, hit)
 
 
 def oracle_sql(ratio: float = 0.05, min_pages: int = 3) -> str:
