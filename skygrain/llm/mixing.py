@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, least_hash_sample, ship
+from .common import cut, free_name, least_hash_sample, ship
+from .tokens import tokenizer
 
 FEATURE_BITS = 15
 
@@ -88,16 +89,21 @@ def train(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str =
     return model
 
 
-def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, p) of every row: words of the whole text and the posterior of each domain in the model's order."""
+def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """(id, n_tokens, p) of every row: tokens of the whole text and the posterior of each domain in the model's order.
+
+    Tokens are the ids of ``tokenizer_path``, or words between ASCII white space if none is given.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # 2^15 weights a domain, whatever the input
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(tokenizer_path, 50_000) if tokenizer_path else None
         for batch in batches:
             got = [shared.value.posterior(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_tokens": pa.array([g[1] for g in got], pa.int64()), "p": pa.array([g[0].tolist() for g in got], pa.list_(pa.float64()))})
+            n = [len(tok.ids32(t.as_py())) for t in batch.column(1)] if tok else [g[1] for g in got]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "p": pa.array([g[0].tolist() for g in got], pa.list_(pa.float64()))})
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, "id long, n_tokens long, p array<double>")
 
@@ -158,41 +164,53 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, toleranc
     return steps
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", **training) -> DataFrame:
-    """id_col, n_tokens, p_<domain> for each target, rate: one row per row of ``docs``.
+def achieved(table: DataFrame, steps: list[np.ndarray], domains: int) -> list[float]:
+    """The expected share of tokens of each domain under the rates, one pass; zeros if nothing has a rate."""
+    r = rate_of(F.col("p"), steps) * F.col("n_tokens")
+    got = table.agg(*[F.sum(r * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(domains)]).first()
+    total = sum(x or 0.0 for x in got)
+    return [(x or 0.0) / total if total else 0.0 for x in got]
+
 
-    ``labels`` has id and domain. Null and empty texts have no tokens, the posteriors of the
-    bias, and a rate that changes no total. Null ids and repeated rows are kept. An empty table gives
-    an empty result.
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", tokenizer_path: str | None = None, **training) -> DataFrame:
+    """id_col, n_tokens, p_<domain> for each target, rate, and share_<domain>: one row per row of ``docs``.
+
+    ``share_<domain>`` is the same in every row: the expected share of tokens that the rates reach, to be
+    held against the target. ``labels`` has id and domain; repeated ids teach once. Null and empty texts
+    have no tokens, the posteriors of the bias, and a rate that changes no total. Null ids and repeated
+    rows are kept; equal texts have equal rates; other columns are not carried. An empty table gives an
+    empty result.
     """
     domains = sorted(targets)
     model = train(docs, labels, domains, id_col, text_col, domain_col, **training)
-    table = cut(posteriors(docs, model, id_col, text_col), "posteriors")
-    rated = table.withColumn("rate", rate_of(F.col("p"), fit_rates(table, [targets[d] for d in domains])))
-    return rated.select(F.col("id").alias(id_col), "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
+    table = cut(posteriors(docs, model, id_col, text_col, tokenizer_path), "posteriors")
+    steps = fit_rates(table, [targets[d] for d in domains])
+    shares = achieved(table, steps, len(domains))
+    named = [c for k, d in enumerate(domains) for c in (F.get("p", F.lit(k)).alias(f"p_{d}"), F.lit(shares[k]).alias(f"share_{d}"))]
+    return table.select(F.col("id").alias(id_col), "n_tokens", rate_of(F.col("p"), steps).alias("rate"), *named)
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", **training) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", tokenizer_path: str | None = None, **training) -> DataFrame:
     """The rows of ``docs`` as often as their rates say: the whole part always, the rest by a hash of the id.
 
     Once the steps are fitted a rate depends on the text alone, so texts are judged again where they
-    are read and never joined or shuffled. Null ids draw like one id. Columns stay as they are.
+    are read and never joined or shuffled. Null ids draw like one id, and so do rows that share one;
+    null and empty texts have the rate of the bias. Columns stay as they are, whatever their names.
     """
     domains = sorted(targets)
     model = train(docs, labels, domains, id_col, text_col, domain_col, **training)
-    table = cut(posteriors(docs, model, id_col, text_col).select("n_tokens", "p"), "posteriors")
+    table = cut(posteriors(docs, model, id_col, text_col, tokenizer_path).select("n_tokens", "p"), "posteriors")
     steps = fit_rates(table, [targets[d] for d in domains])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def judge(text):
-        import pandas as pd
-
-        return pd.Series([shared.value.posterior(t)[0].tolist() for t in text])
+    @F.arrow_udf("array<double>")
+    def judge(text: pa.Array) -> pa.Array:
+        return pa.array([shared.value.posterior(t.as_py())[0].tolist() for t in text], pa.list_(pa.float64()))
 
-    judged = docs.withColumn("_p", judge(F.col(text_col).cast("string")))
-    times = F.floor(rate_of(F.col("_p"), steps) + draw_of(id_col)).cast("int")
-    return judged.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_p", "_copy")
+    p, times, copy = (free_name(docs, x) for x in ("posterior", "times", "copy"))
+    judged = docs.withColumn(p, judge(F.col(text_col).cast("string")))
+    timed = judged.withColumn(times, F.floor(rate_of(F.col(p), steps) + F.coalesce(draw_of(id_col), F.lit(0.5))).cast("int"))
+    return timed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).drop(p, times, copy)
 
 
 def draw_of(id_col: str):
