@@ -29,8 +29,8 @@ def contract(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = N
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b: long): root is the least node reachable.
 
-    Alternating star contraction: in a round every node's larger neighbours are joined to its least
-    neighbour, then its smaller ones; minima are pre-aggregated, so a node that a third of all edges
+    Alternating star contraction: in a round every node's smaller neighbours are joined to its least
+    neighbour, then its larger ones; minima are pre-aggregated, so a node that a third of all edges
     touch costs one row a task. Each round's edges are written to shared storage, which ends lineage.
     Self-loops, repeated edges and either direction are fine; null ends are dropped; no edges give an
     empty table.
@@ -43,16 +43,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0] or seen == mark:
             break
         mark = seen
+        # Small star: neighbours below u, and u, go to the least of them.
+        low = now.df.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        small = now.df.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        half = Cut(small, "edges")
+        now.drop()
         # Large star: neighbours above u go to the least of u and its neighbours.
-        both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = half.df.unionByName(half.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: neighbours below u, and u, go to the least of them.
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        after = Cut(small, "edges")
-        now.drop()
-        now = after
+        now = Cut(large, "edges")
+        half.drop()
     else:
         raise RuntimeError("components did not settle")
     # Settled edges are stars: every node but a root has its root as only lower neighbour.

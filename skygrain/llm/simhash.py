@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, shuffle_partitions
+from .common import broadcast_ids, cut, free_name, ship, shuffle_partitions
 from .components import components, contract
 
 BITS = 64
-#: So many ids (16 MB) are broadcast at most.
-BROADCAST_IDS = 2_000_000
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -66,18 +64,26 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def bucket_links(fps: np.ndarray, bucket: int, prefix: int, half: int, limit: int = 1 << 21) -> np.ndarray:
-    """Component roots (indices) of distinct ``fps`` that share a variant whose first ``prefix`` bits are ``bucket``.
+#: Members of a run of equal variants that are compared with one another; a longer run is one group without comparison.
+RUN = 4096
+
+
+def bucket_links(fps: np.ndarray, bucket: int, prefix: int, half: int, limit: int = 1 << 21, bits: int = BITS, check: np.ndarray | None = None, within: int = BITS) -> np.ndarray:
+    """Component roots (indices) of ``fps`` that share a variant whose first ``prefix`` of ``bits`` bits are ``bucket``.
 
     All variants within ``half`` flips that fall in the bucket are made, sorted and compared; two
     fingerprints that share one are at most ``2 * half`` bits apart, so a run of equal variants is one
     linked group and needs no pairs. More variants than ``limit`` are made in parts, by further bits.
+
+    With ``check``, a second fingerprint of each, members of a run link only if their checks are
+    ``within`` so many bits. Members already linked are not compared again, and a run of more than
+    ``RUN`` members, which only copies make, links as a whole: the links are a superset then.
     """
     parent = np.arange(len(fps))
 
     def grow(members: np.ndarray, value: int, depth: int) -> None:
         nonlocal parent
-        low = BITS - depth
+        low = bits - depth
         top = (fps[members] >> np.uint64(low)) if low < BITS else np.zeros(len(members), dtype=np.uint64)
         left = half - _ones(top ^ np.uint64(value)).astype(np.int64)
         members, left = members[left >= 0], left[left >= 0]
@@ -99,11 +105,24 @@ def bucket_links(fps: np.ndarray, bucket: int, prefix: int, half: int, limit: in
         v, o = np.concatenate(variants), np.concatenate(owners)
         order = np.argsort(v, kind="stable")
         v, o = v[order], o[order]
-        same = np.flatnonzero(v[1:] == v[:-1])
-        if len(same):
-            a, b = o[same], o[same + 1]
-            near = _ones(fps[a] ^ fps[b]) <= 2 * half  # verified; always so, since both are within half of the variant
-            parent = contract(len(fps), a[near], b[near], parent)
+        at, lag = np.flatnonzero(v[1:] == v[:-1]), 1
+        if check is None:
+            if len(at):
+                parent = contract(len(fps), o[at], o[at + 1], parent)  # both are within half of the variant
+            return
+        while len(at):
+            a, b = o[at], o[at + lag]
+            near = parent[a] != parent[b]
+            near[near] = _ones(check[a[near]] ^ check[b[near]]) <= within
+            if near.any():
+                parent = contract(len(fps), a[near], b[near], parent)
+            lag += 1
+            at = at[at + lag < len(v)]
+            at = at[v[at + lag] == v[at]]
+            if lag > RUN and len(at):
+                at = np.flatnonzero((v[1:] == v[:-1]) & np.isin(v[1:], v[at]))
+                parent = contract(len(fps), o[at], o[at + 1], parent)
+                return
 
     grow(np.arange(len(fps)), bucket, prefix)
     return parent
@@ -118,12 +137,32 @@ def _flips_of(width: int, most: int) -> np.ndarray:
     return _masks[width, most]
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The columns behind each value of the first one, from batches sorted by it; one bucket at a time is held."""
+    held: list[list[np.ndarray]] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        cuts = np.flatnonzero(np.diff(columns[0])) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            key = int(columns[0][lo])
+            if held and key != last:
+                yield last, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            last = key
+            held.append([c[lo:hi] for c in columns[1:]])
+    if held:
+        yield last, [np.concatenate(c) for c in zip(*held)]
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 4, rows_a_bucket: int = 1 << 18) -> DataFrame:
     """Edges (a, b) that join all fingerprints (column fp, distinct) within ``radius`` bits: a spanning forest of every bucket.
 
     Every fingerprint emits all variants within half the radius. They are shuffled by their leading
     bits: one row stands for all variants of a fingerprint with the same leading bits, and its task
-    makes the rest of their bits. The number of leading bits follows the input.
+    makes the rest of their bits, for one bucket at a time. The number of leading bits follows the input.
     """
     half = radius // 2
     n = distinct.count()
@@ -135,25 +174,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, rows_a_bucket: int =
     ship(distinct.sparkSession)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        bucket, fp = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        order = np.argsort(bucket, kind="stable")
-        bucket, fp = bucket[order], fp[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        found_a, found_b = [], []
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]):
-            if hi - lo > 1:
-                own = np.sort(fp[lo:hi])
-                root = bucket_links(own.view(np.uint64), int(bucket[lo]), prefix, half)
+        for bucket, (fp,) in _buckets(batches):
+            if len(fp) > 1:
+                own = np.sort(fp)
+                root = bucket_links(own.view(np.uint64), bucket, prefix, half)
                 linked = np.flatnonzero(root != np.arange(len(own)))
-                found_a.append(own[linked])
-                found_b.append(own[root[linked]])
-        if found_a:
-            yield pa.RecordBatch.from_pydict({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+                yield pa.RecordBatch.from_pydict({"a": own[linked], "b": own[root[linked]]})
 
-    return sent.repartition(4 * shuffle_partitions(distinct.sparkSession), "bucket").mapInArrow(link, "a long, b long")
+    return sent.repartition(4 * shuffle_partitions(distinct.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(link, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -179,10 +207,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` that stay: one of each group of near-duplicates, the one with the least id.
 
     Ids name documents: all rows with a kept id stay, and rows with a null id stay. Columns stay as
-    they are.
+    they are, whatever their names. Null and empty texts are one group; an empty table stays empty.
     """
     groups = simhash_components(docs, id_col, text_col, words, radius)
-    gone = cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "fp-gone")
-    # Ids alone, counted: below the limit texts stay where they are, beyond it both sides are shuffled.
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "fp-gone")
+    # Ids alone, counted: below the limit texts stay where they are, beyond it both sides are shuffled and sorted.
+    return docs.join(broadcast_ids(gone), docs[id_col] == F.col(name), "left_anti")

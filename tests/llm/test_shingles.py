@@ -53,6 +53,31 @@ def test_large_clusters_are_dealt_out_whole(spark, block):
     assert {r.component_id for r in got} == _kept(texts)
 
 
-def test_alike_counts_exactly():
+def test_similarities_are_exact():
     a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
-    assert shingles.alike([a], [b], 0.8).all() and not shingles.alike([a], [b[1:]], 0.8).any()
+    assert shingles.similarities([a, a[:0]], [b, b[1:]]).tolist() == [[0.8, 0.7], [0.0, 0.0]]
+
+
+@pytest.mark.parametrize("documents", [1000, 14_000_000, 1_000_000_000])
+def test_blocks_find_pairs_at_the_limit(documents):
+    """Random pairs of sets at exactly 0.8, of equal size and one within the other."""
+    cutting, rng = shingles.Blocks(documents, 0.8), np.random.default_rng(8)
+    found = []
+    for k in range(300):
+        both = rng.integers(0, 1 << 63, 320, dtype=np.uint64)
+        own = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        a, b = (np.r_[both, own[:40]], np.r_[both, own[40:]]) if k % 2 else (both, np.r_[both, own])
+        (ca, xa), (cb, xb) = cutting.of(np.sort(a)), cutting.of(np.sort(b))
+        near = min((x ^ y).bit_count() for x, y in zip(xa, xb)) <= shingles.RADIUS
+        found.append(near and ((ca ^ cb) & ((1 << 64) - 1)).bit_count() <= cutting.within)
+    assert np.mean(found) >= 0.97
+
+
+def test_large_runs_link_whole():
+    """A run of more variants than are compared links as a whole; a shorter one by its checks alone."""
+    from skygrain.llm import simhash
+
+    block = np.full(6000, 5, np.uint64)
+    check = np.random.default_rng(1).integers(0, 1 << 63, 6000, dtype=np.uint64)
+    assert (simhash.bucket_links(block, 0, 6, 1, bits=24, check=check, within=18) == 0).all()
+    assert len(set(simhash.bucket_links(block[:50], 0, 6, 1, bits=24, check=check[:50], within=5))) == 50
