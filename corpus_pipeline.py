@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has less than this mean probability over its windows is rejected.
 LEAST_LANGUAGE_SCORE = 0.35
 #: Words that a worker's tokenizer keeps a table: fewer than by default, since the workers hold four other stages' memory too.
-TOKENIZER_WORDS = 200_000
+TOKENIZER_WORDS = 50_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
