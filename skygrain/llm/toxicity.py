@@ -12,40 +12,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, free_name, ship
 
 _WORD = re.compile(r"[^\W_]+")
 # Marks of quotation, words that report speech, words that address someone.
-QUOTES = "\"“”„«»‹›‘’"
+QUOTES = (('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‹", "›"), ("‘", "’"))
 REPORTING = {"said", "says", "wrote", "called", "calling", "word", "term", "quote", "quoted", "dit", "mot", "dijo", "palabra", "sagte", "wort"}
 ADDRESS = {"you", "your", "youre", "u", "du", "dein", "dich", "ihr", "tu", "toi", "vous", "ton", "usted", "tus", "eres"}
+#: An apostrophe within a word is no mark of quotation.
+_APOSTROPHE = re.compile(r"(?<=\w)[’‘](?=\w)")
 #: Tokens on each side of a hit that make its context.
 CONTEXT = 6
 FEATURES = 5
 
 
 class FuzzyLexicon:
-    """All words within one edit of a term: a trie of the terms intersected with their Levenshtein automata.
+    """All words near a term: a trie of the terms intersected with their Levenshtein automata.
 
     A state is a set of (trie node, edits used); states and their steps are made when a word first needs
-    them. Terms shorter than ``fuzzy_from`` letters match exactly only.
+    them. Terms shorter than ``fuzzy_from`` letters match exactly only, those of ``twice_from`` letters or
+    more within two edits, the others within one.
     """
 
-    def __init__(self, terms: dict[str, float], known: set[str] = frozenset(), fuzzy_from: int = 5, max_states: int = 200_000):
-        self.terms, self.known, self.fuzzy_from, self.max_states = terms, known, fuzzy_from, max_states
+    def __init__(self, terms: dict[str, float], known: set[str] = frozenset(), fuzzy_from: int = 5, twice_from: int = 10, max_states: int = 200_000):
+        self.terms, self.known, self.fuzzy_from, self.twice_from, self.max_states = terms, known, fuzzy_from, twice_from, max_states
         self.children: list[dict[str, int]] = [{}]
         self.term_at: dict[int, str] = {}
+        self.most = [0]  # edits allowed to any term below a node
         for term in sorted(terms):
             if len(term) >= fuzzy_from:
-                node = 0
+                node, edits = 0, self.edits(term)
+                self.most[0] = max(self.most[0], edits)
                 for c in term:
                     if c not in self.children[node]:
                         self.children[node][c] = len(self.children)
                         self.children.append({})
+                        self.most.append(0)
                     node = self.children[node][c]
+                    self.most[node] = max(self.most[node], edits)
                 self.term_at[node] = term
         self._reset()
 
+    def edits(self, term: str) -> int:
+        return 0 if len(term) < self.fuzzy_from else 2 if len(term) >= self.twice_from else 1
+
     def _reset(self) -> None:
         self.steps: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = []
@@ -54,13 +64,13 @@ class FuzzyLexicon:
         self.seen: dict[str, tuple | None] = {}
 
     def _state(self, pairs: set) -> int:
-        closed = set(pairs)
-        for node, used in pairs:
-            if not used:
-                closed |= {(child, 1) for child in self.children[node].values()}  # a letter of the term is missing
         least: dict[int, int] = {}
-        for node, used in closed:
-            least[node] = min(used, least.get(node, 9))
+        todo = list(pairs)
+        while todo:
+            node, used = todo.pop()
+            if used <= self.most[node] and used < least.get(node, 9):
+                least[node] = used
+                todo += [(child, used + 1) for child in self.children[node].values()]  # a letter of the term is missing
         key = frozenset(least.items())
         if key not in self.number:
             self.number[key] = len(self.states)
@@ -74,14 +84,13 @@ class FuzzyLexicon:
                 child = self.children[node].get(c)
                 if child is not None:
                     after.add((child, used))
-                if not used:
-                    after.add((node, 1))  # an extra letter
-                    after |= {(x, 1) for x in self.children[node].values()}  # another letter
+                after.add((node, used + 1))  # an extra letter
+                after |= {(x, used + 1) for x in self.children[node].values()}  # another letter
             self.steps[state, c] = self._state(after)
         return self.steps[state, c]
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """(term, edits) of the nearest term, the heavier one of equals; None if none is within one edit or the word is known to be clean."""
+        """(term, edits) of the nearest term, the heavier one of equals; None if none is near enough or the word is known to be clean."""
         try:
             return self.seen[word]
         except KeyError:
@@ -102,8 +111,21 @@ class FuzzyLexicon:
             state = self._step(state, c)
             if not self.states[state]:
                 return None
-        ends = [(used, -self.terms[self.term_at[node]], self.term_at[node]) for node, used in self.states[state] if node in self.term_at]
-        return (min(ends)[2], 1) if ends else None
+        ends = [(used, -self.terms[term], term) for node, used in self.states[state] if (term := self.term_at.get(node)) and used <= self.edits(term)]
+        return (min(ends)[2], min(ends)[0]) if ends else None
+
+
+def is_quoted(before: str, after: str) -> bool:
+    """Whether a mark that opens is left open at the end of ``before`` and closed in ``after``."""
+    before, after = _APOSTROPHE.sub("", before), _APOSTROPHE.sub("", after)
+    for opening, closing in QUOTES:
+        if opening == closing:
+            left = before.count(opening) % 2 == 1
+        else:
+            left = before.rfind(opening) > before.rfind(closing)
+        if left and closing in after:
+            return True
+    return False
 
 
 def hits(text: str | None, lexicon: FuzzyLexicon) -> tuple[list[tuple], int]:
@@ -117,8 +139,8 @@ def hits(text: str | None, lexicon: FuzzyLexicon) -> tuple[list[tuple], int]:
         found = lexicon.match(word)
         if found:
             near = spans[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            before, after = text[near[0][0] : start], text[end : near[-1][1] + 1]
-            quoted = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
+            before, after = text[max(0, near[0][0] - 1) : start], text[end : near[-1][1] + 1]
+            quoted = is_quoted(before, after)
             around = {w for _, _, w in near}
             weight = lexicon.terms[found[0]] * (0.25 if quoted else 1.0) * (0.5 if around & REPORTING else 1.0) * (1.5 if around & ADDRESS else 1.0)
             out.append((start, end, found[0], found[1], weight, quoted))
@@ -140,10 +162,10 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-(np.dot(features(found, words), self.weights) + self.bias)))), found
 
     def __getstate__(self):  # the automaton's states are made again where they are needed
-        return self.lexicon.terms, self.lexicon.known, self.lexicon.fuzzy_from, self.weights, self.bias
+        return self.lexicon.terms, self.lexicon.known, self.lexicon.fuzzy_from, self.lexicon.twice_from, self.weights, self.bias
 
     def __setstate__(self, s):
-        self.lexicon, self.weights, self.bias = FuzzyLexicon(s[0], s[1], s[2]), s[3], s[4]
+        self.lexicon, self.weights, self.bias = FuzzyLexicon(*s[:4]), s[4], s[5]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -161,12 +183,13 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000, max_terms: int = 600, max_known: int = 20_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_clean: int = 8000) -> ToxicityModel:
     """Learn the lexicon and the weights from a bounded sample: at most ``max_toxic`` and ``max_clean`` labelled texts, by least hash of the id.
 
-    Terms are words of toxic texts that clean ones hardly have, ``max_terms`` at most. Words of two or
-    more clean texts within an edit of a term are known and no misspellings (``max_known`` at most).
-    ``labels`` has the id and the label, 1 for toxic. Rows with a null id, text or label teach nothing;
+    Terms are all words of the sampled toxic texts that its clean ones hardly have. Words of two or more
+    sampled clean texts that are near a term are known and no misspellings. Both are words of the
+    sample, so they are bounded as it is, and none is left out. ``labels`` has the id and the label, 1 for
+    toxic. Rows with a null id, text or label teach nothing; repeated ids teach once a row of ``docs``;
     without toxic rows every text scores low.
     """
     ship(docs.sparkSession)
@@ -192,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_clean = min(max_toxic, total.get(1, 0)), min(max_clean, total.get(0, 0))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     least = max(3, n_toxic // 400)
-    terms = {r["word"]: min(1.0, r["odds"] / 6) for r in counted.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= 2.5) & (F.length("word") >= 3)).orderBy(F.desc("toxic"), "word").limit(max_terms).collect()}
+    terms = {r["word"]: min(1.0, r["odds"] / 6) for r in counted.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= 2.5) & (F.length("word") >= 3)).collect()}
     draft = FuzzyLexicon(terms)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             own = [i for i, w in enumerate(batch.column(0).to_pylist()) if (lexicon.match(w) or ("", 0))[1]]
             yield batch.take(pa.array(own, pa.int64()))
 
-    known = {r["word"] for r in counted.filter("clean >= 2").select("word", "clean").mapInArrow(near, "word string, clean long").orderBy(F.desc("clean"), "word").limit(max_known).collect()} if terms else set()
+    known = {r["word"] for r in counted.filter("clean >= 2").select("word", "clean").mapInArrow(near, "word string, clean long").collect()} if terms else set()
     lexicon = FuzzyLexicon(terms, known)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,23 +242,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ToxicityModel(lexicon, *_fit(x, y, weight))
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Add ``score`` (0 to 1), ``predicted`` (1 at ``threshold`` or more) and ``hits`` (places, terms, edits, weights, quotation) to every row.
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7, with_hits: bool = True) -> DataFrame:
+    """Add ``score`` (0 to 1), ``predicted`` (1 at ``threshold`` or more) and, if asked for, ``hits`` (places, terms, edits, weights, quotation) to every row.
 
-    Whole texts are read. Null and empty text have no hits and get the score of that. Other columns
-    stay; equally named ones are replaced.
+    Whole texts are read. Null and empty text have no hits and get the score of that. Each row is judged
+    by its text alone, so ties, null ids and repeated rows change nothing. Other columns stay; equally
+    named ones are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most max_terms + max_known words
-
-    @F.pandas_udf("struct<score:double,hits:array<struct<start:int,end:int,term:string,edits:int,weight:double,quoted:boolean>>>")
-    def judge(text):
-        import pandas as pd
-
-        got = [shared.value.score(t) for t in text]
+    shared = spark.sparkContext.broadcast(model)  # words of a bounded sample
+    hit = "struct<start:int,end:int,term:string,edits:int,weight:double,quoted:boolean>"
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("edits", pa.int32()), ("weight", pa.float64()), ("quoted", pa.bool_())]))
+
+    @F.arrow_udf(f"struct<score:double,hits:array<{hit}>>" if with_hits else "double")
+    def judge(text: pa.Array) -> pa.Array:
+        got = [shared.value.score(t.as_py()) for t in text]
+        scores = pa.array([g[0] for g in got], pa.float64())
+        if not with_hits:
+            return scores
         names = ("start", "end", "term", "edits", "weight", "quoted")
-        return pd.DataFrame({"score": [g[0] for g in got], "hits": [[dict(zip(names, h)) for h in g[1]] for g in got]})
+        return pa.StructArray.from_arrays([scores, pa.array([[dict(zip(names, h)) for h in g[1]] for g in got], kind)], ["score", "hits"])
 
-    out = docs.withColumn("_judged", judge(F.col(text_col).cast("string")))
-    return out.withColumns({"score": F.col("_judged.score"), "predicted": (F.col("_judged.score") >= threshold).cast("int"), "hits": F.col("_judged.hits")}).drop("_judged")
+    name = free_name(docs, "judged")
+    out = docs.withColumn(name, judge(F.col(text_col).cast("string")))
+    found = F.col(f"{name}.score") if with_hits else F.col(name)
+    added = {"score": found, "predicted": (found >= threshold).cast("int")} | ({"hits": F.col(f"{name}.hits")} if with_hits else {})
+    return out.withColumns(added).drop(name)

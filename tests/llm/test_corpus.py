@@ -208,7 +208,7 @@ def test_language_id(spark, docs, empty):
     net = language_id.train(df.filter("doc_id < 60"))
     got = language_id.predict(df.filter("doc_id >= 60"), net).collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
-    odd = {r.doc_id: r for r in language_id.predict(docs.drop("score"), net).collect()}
+    odd = {r.doc_id: r for r in language_id.predict(docs.withColumn("_guess", F.lit(1)), net).collect()}
     assert odd[1].lang_pred == odd[2].lang_pred == "und" and 0 <= odd[6].score <= 1
     assert language_id.predict(empty, language_id.train(empty)).count() == 0
 
@@ -219,17 +219,67 @@ def test_fuzzy_lexicon():
     for word, edits in cases.items():
         found = lex.match(word)
         assert (found and found[1]) == edits, word
+    assert toxicity.is_quoted("he said “", "” and") and toxicity.is_quoted('a "b" "c ', ' d" e') and toxicity.is_quoted("« ", " »")
+    assert not toxicity.is_quoted("it’s clear you are an ", " and that’s final") and not toxicity.is_quoted('"a" ', ' "b"') and not toxicity.is_quoted("” ", " “")
     plain, quoted = (toxicity.hits(t, lex)[0][0] for t in ("you are an idiot here", 'he said "idiot" here'))
     assert plain[4] > quoted[4] and quoted[5] and not plain[5]
 
 
+def _distance(a, b):
+    """Levenshtein's, by its table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_lexicon_against_all_distances():
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcd"), n))
+    terms = {word(n): float(w) for n, w in zip(rng.integers(3, 14, 40), rng.random(40))}
+    lex = toxicity.FuzzyLexicon(terms, known={word(6) for _ in range(30)})
+    words = [word(n) for n in rng.integers(2, 15, 1500)]
+    for t in list(terms):
+        for _ in range(10):
+            w = list(t)
+            for _ in range(rng.integers(0, 4)):
+                at = rng.integers(0, len(w) + 1)
+                w[at : at + rng.integers(0, 2)] = word(rng.integers(0, 2))
+            words.append("".join(w))
+    for w in words:
+        near = [(d, -terms[t], t) for t in terms if (d := _distance(w, t)) <= (2 if len(t) >= 10 else 1 if len(t) >= 5 else 0)]
+        want = (w, 0) if w in terms else None if w in lex.known or not near else (min(near)[2], min(near)[0])
+        assert lex.match(w) == want, w
+
+
+def test_toxicity_scores_are_the_regression(spark):
+    """The query's scores against the formula over features counted word by word."""
+    rows = [(i, ("calm gardens grow " * 4) + (f"you {'scoundrel' if i % 2 else 'scoundrl'} rotten " if i % 3 == 0 else "") + "x" * (i % 5)) for i in range(90)]
+    df = spark.createDataFrame([*rows, (None, None), (7, rows[7][1])], "doc_id long, text string")
+    model = toxicity.train(df, df.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    assert {"scoundrel", "rotten"} <= set(model.lexicon.terms)
+    for r in toxicity.score(df, model).collect():
+        exact = fuzzy = quoted = 0.0
+        words = re.findall(r"[^\W_]+", (r.text or "").lower())
+        for k, w in enumerate(words):
+            found = model.lexicon.match(w)
+            if found:
+                near = set(words[max(0, k - 6) : k + 7])
+                weight = model.lexicon.terms[found[0]] * (0.5 if near & toxicity.REPORTING else 1) * (1.5 if near & toxicity.ADDRESS else 1)
+                exact, fuzzy = (exact, fuzzy + weight) if found[1] else (exact + weight, fuzzy)
+        x = [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), float(exact > 0), min(1.0, 20 * (exact + fuzzy) / max(1, len(words)))]
+        assert abs(r.score - 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, model.weights)) + model.bias)))) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, ("a calm word about gardens " * 3) + ("you rotten scoundrel " if i % 3 == 0 else "")) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(df, df.filter("doc_id < 90").select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
     got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
     assert all(got[i].predicted == (i % 3 == 0) for i in range(90, 120))
-    assert toxicity.score(docs.drop("score"), model).filter("score < 0.5").count() == len(ODD)
+    assert toxicity.score(docs, model).filter("score < 0.5").count() == len(ODD)
     assert toxicity.score(empty, toxicity.train(empty, empty.select("doc_id", F.lit(1).alias("toxic")))).count() == 0
 
 
