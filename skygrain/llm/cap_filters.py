@@ -132,16 +132,22 @@ def cap_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     holds an unbounded filter. Tasks return one row a vector and block pair (new links, and a link
     towards its component), never pairs.
 
-    Null, zero and non-finite vectors, vectors with null components and rows with a null id link with
+    Square sums of single floats neither overflow nor vanish in double precision; doubles are scaled by a
+    power of two first. Null, zero and non-finite vectors, vectors with null components and rows with a null id link with
     nothing; vectors of different lengths never link. Rows that repeat an id with its vector count as
     copies of it. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     ship(spark)
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    width = np.dtype("<f4" if single else "<f8")  # vectors travel as they came; cosines are of doubles
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sound = F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(norm > 0, F.lit(False)) & F.coalesce(norm < float("inf"), F.lit(False))
-    keyed = cut(rows.select("id", F.when(sound, F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)).alias("key"), F.when(sound, F.col("v")).alias("v")), "vectors")
+    most = F.aggregate("v", F.lit(0.0), lambda a, x: F.when(F.isnan(x) | F.isnan(a), F.lit(float("nan"))).otherwise(F.when(x.isNull() | a.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(a, F.abs(x)))))
+    sound = F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce((F.col("most") > 0) & (F.col("most") < float("inf")), F.lit(False))
+    rows = rows.withColumn("most", most)
+    # A power of two brings the largest component near 1, exactly, so that squares neither overflow nor vanish.
+    near_one = F.col("v") if single else F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2("most") / 2)) / F.pow(F.lit(2.0), F.ceil(F.log2("most") / 2)))
+    keyed = cut(rows.select("id", F.when(sound, F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)).alias("key"), F.when(sound, near_one).alias("v")), "vectors")
     reps = cut(keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v")), "vector-reps")
     dims = {r["dim"]: r["n"] for r in reps.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     fitted = [ProductCode.fitted(d, n, cosine) for d, n in dims.items()]
@@ -161,28 +167,29 @@ def cap_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
                     lists = made[d].decode(unit)
                     n = [len(f) for f in lists]
                     which = np.repeat(np.arange(len(at)), n)
-                    raw, names = [r.tobytes() for r in unit], [f.tobytes() for f in lists]
+                    raw, names = [r.tobytes() for r in x.astype(width)], [f.astype(np.int32).tobytes() for f in lists]
                     yield pa.RecordBatch.from_pydict({
                         "dim": pa.array(np.full(len(which), d, np.int32)), "filter": pa.array(np.concatenate(lists)),
                         "rep": pa.array(reps_[at][which]), "weight": pa.array(weights[at][which]),
-                        "unit": pa.array([raw[i] for i in which], pa.binary()), "filters": pa.array([names[i] for i in which], pa.binary()),
+                        "vector": pa.array([raw[i] for i in which], pa.binary()), "filters": pa.array([names[i] for i in which], pa.binary()),
                     })
 
-    sent = cut(reps.select("rep", "weight", "v").mapInArrow(decode, "dim int, filter long, rep long, weight long, unit binary, filters binary"), "vector-filters")
+    sent = cut(reps.select("rep", "weight", "v").mapInArrow(decode, "dim int, filter long, rep long, weight long, vector binary, filters binary"), "vector-filters")
     # Filters with more than a block of vectors are cut into blocks; each vector meets every block once.
     sizes = sent.groupBy(F.col("dim").alias("_d"), F.col("filter").alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
     large = cut(sizes.filter(F.col("_n") > block).select("_d", "_f", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "vector-large")
     dealt = sent.join(large, (F.col("dim") == F.col("_d")) & (F.col("filter") == F.col("_f")), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
     dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("dim", "filter", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "weight", "unit", "filters")
+    dealt = dealt.select("dim", "filter", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "weight", "vector", "filters")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, table in _groups(batches):
             dim, name, i, j = key
             rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy().astype(np.float64)
-            unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), dtype=np.float64).reshape(-1, dim)
-            lists = [np.frombuffer(x, dtype=np.int64) for x in table.column("filters").to_pylist()]
+            x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=width).astype(np.float64).reshape(-1, dim)
+            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+            lists = [np.frombuffer(f, dtype=np.int32) for f in table.column("filters").to_pylist()]
             side = table.column("_own").to_numpy()
             l, r = np.flatnonzero(side == i), np.flatnonzero(side == j)
             pick = lambda at: (unit[at], weight[at], [lists[k] for k in at])

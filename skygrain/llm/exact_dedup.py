@@ -62,12 +62,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col)
     if splitters:
         bounds = F.from_json(F.lit(json.dumps(splitters)), f"array<{_KEY}>")
-        heads = F.from_json(F.lit(json.dumps([{"p": s["p"], "h": s["h"]} for s in splitters])), "array<struct<p:string,h:bigint>>")
-        part = _range_of(F.col("_key"), bounds, len(splitters))
-        split = F.array_contains(heads, F.struct(F.col("_key.p").alias("p"), F.col("_key.h").alias("h")))
+        # A splitter of the same content lies next to the row's place among the splitters, on either side.
+        beside = lambda k: (F.get(bounds, k)["p"] == F.col("_key.p")) & (F.get(bounds, k)["h"] == F.col("_key.h"))
+        near = lambda k: F.coalesce(F.when(k > 0, beside(k - 1)), F.lit(False)) | F.coalesce(beside(k), F.lit(False))
+        found = F.get(F.transform(F.array(_range_of(F.col("_key"), bounds, len(splitters))), lambda k: F.struct(k.alias("part"), near(k).alias("split"))), F.lit(0))
     else:
-        part, split = F.lit(0), F.lit(False)
-    dealt = keyed.select("_id", "_len", "_norm", part.alias("_part"), split.alias("_split")).repartitionById(parts, F.col("_part"))
+        found = F.struct(F.lit(0).alias("part"), F.lit(False).alias("split"))
+    dealt = keyed.select("_id", "_len", "_norm", found.alias("_at")).select("_id", "_len", "_norm", F.col("_at.part").alias("_part"), F.col("_at.split").alias("_split")).repartitionById(parts, F.col("_part"))
     run = Window.partitionBy("_part", "_norm")
     order = run.orderBy(F.desc("_len"), F.col("_id").asc_nulls_first())
     found = dealt.select(

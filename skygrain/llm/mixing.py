@@ -116,13 +116,13 @@ def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
     return r
 
 
-def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, tolerance: float = 1e-6, total: float | None = None) -> list[np.ndarray]:
+def fit_rates(table: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, total: float | None = None) -> list[np.ndarray]:
     """Steps whose ``rate_of`` >= 0 for rows with ``n_tokens`` and ``p`` brings sum(rate * n_tokens * p_d) to ``total`` * targets_d.
 
     Projected gradient on the squared distance of the domain totals from their targets, from a rate of 1
     everywhere. A document's gradient is its posterior times the distances; the step is scaled by the
     second moments of the posteriors of documents that have a rate (a few numbers), then cut at zero.
-    A step that does not come closer is halved. Each round is one distributed sum of a few numbers,
+    Where that step does not come closer, a plain gradient step does. Each round is one distributed sum of a few numbers,
     and a rate is a function of the rounds' steps, so nothing else is kept. Targets that no rates
     reach are approached. ``total`` is the tokens of all rows by default.
     """
@@ -147,20 +147,21 @@ def fit_rates(table: DataFrame, targets: list[float], rounds: int = 30, toleranc
 
     steps: list[np.ndarray] = []
     off, moment = state(steps)
+    plain = 1 / max(1e-12, float(np.linalg.eigvalsh(moment).max()))  # a step that always comes closer, if slowly
     damp = 1.0
     for _ in range(rounds):
         if np.abs(off).max() <= tolerance:
             break
         step = -damp * np.linalg.solve(moment + 1e-9 * np.eye(d), off)
         tried = state([*steps, step])
-        if np.linalg.norm(tried[0]) < np.linalg.norm(off) * (1 - 1e-6):
-            steps.append(step)
-            off, moment = tried
-            damp = min(1.0, 2 * damp)
-        else:
-            damp /= 2
-            if damp < 1e-4:
+        damp = min(1.0, 2 * damp)
+        if np.linalg.norm(tried[0]) >= np.linalg.norm(off) * (1 - 1e-3):
+            step, damp = -plain * off, max(1 / 64, damp / 4)
+            tried = state([*steps, step])
+            if np.linalg.norm(tried[0]) >= np.linalg.norm(off) * (1 - 1e-5):
                 break
+        steps.append(step)
+        off, moment = tried
     return steps
 
 

@@ -3,11 +3,14 @@
 Record:  u64 length | u32 masked crc32 of the length bytes | payload | u32 masked crc32 of the payload
 Payload: u8 flags (1: id is null) | u8 bytes an id | i64 id | u32 tokens | ids
 Index:   magic | u64 records | one entry a record (id, null, offset, length, first token, tokens) | u32 masked crc32
-All numbers are little-endian. A shard holds one range of ids, in order.
+Manifest: JSON, one entry a shard: its files, documents, tokens, bytes and the tokens before it.
+All numbers are little-endian. A shard holds one range of ids, in order. Every attempt of a task writes
+under names of its own, and the manifest names those that count, so nothing is ever renamed or replaced.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -39,14 +42,6 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _publish(store, path: str, write) -> None:
-    """Write under a name of this attempt, then move: a lost or repeated task never leaves half a file under the final name."""
-    own = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as f:
-        write(f)
-    store.move(own, path)
-
-
 def frame(key: int | None, ids: bytes, width: int) -> bytes:
     """One record; ``ids`` are little-endian, ``width`` bytes each."""
     body = PAYLOAD.pack(key is None, width, key or 0, len(ids) // width) + ids
@@ -60,10 +55,9 @@ def write_shard(batches: Iterator[pa.RecordBatch], shard: int, out_dir: str, tok
     store, root = _store(out_dir)
     store.create_dir(root, recursive=True)
     width, end = tok.dtype.itemsize, np.asarray([end_id], dtype=tok.dtype).tobytes()
-    path, entries, place, start = f"{root}/shard-{shard:06d}", [], 0, 0
-
-    def data(f):
-        nonlocal place, start
+    name = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
+    entries, parts, place, start, docs = [], [], 0, 0, 0
+    with store.open_output_stream(f"{root}/{name}.rec") as f:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = tok.encode(text.as_py()) + end
@@ -73,11 +67,15 @@ def write_shard(batches: Iterator[pa.RecordBatch], shard: int, out_dir: str, tok
                 entries.append((key or 0, key is None, place, len(record) - HEAD.size - 4, start, n))
                 place += len(record)
                 start += n
-
-    _publish(store, f"{path}.rec", data)
-    index = MAGIC + struct.pack("<Q", len(entries)) + np.array(entries, dtype=ENTRY).tobytes()
-    _publish(store, f"{path}.idx", lambda f: f.write(index + struct.pack("<I", masked(index))))
-    return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"shard-{shard:06d}"], "docs": [len(entries)], "tokens": [start], "bytes": [place]})
+                if len(entries) == 4096:  # packed, 37 bytes a document
+                    parts.append(np.array(entries, dtype=ENTRY).tobytes())
+                    entries.clear()
+                    docs += 4096
+    docs += len(entries)
+    index = MAGIC + struct.pack("<Q", docs) + b"".join([*parts, np.array(entries, dtype=ENTRY).tobytes()])
+    with store.open_output_stream(f"{root}/{name}.idx") as f:
+        f.write(index + struct.pack("<I", masked(index)))
+    return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "docs": [docs], "tokens": [start], "bytes": [place]})
 
 
 def _writer(out_dir: str, tokenizer_path: str, end_id: int):
@@ -93,8 +91,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, out_dir: str | None = No
     """Encode every text, append ``end_id``, and write shards in ascending order of ids.
 
     Returns the folder (by default one in shared storage) and its manifest, one entry a shard: the only
-    thing that the driver gathers. Null text is empty and has the end id alone; null ids come first;
-    rows that share an id are ordered by text. An empty table writes no or empty shards.
+    thing that the driver gathers; it is written to the folder too. Null text is empty and has the end id
+    alone; null ids come first; rows that share an id are ordered by text, and repeated rows are written
+    each. Other columns are not written. An empty table writes no or empty shards.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -107,9 +106,20 @@ def write_records(docs: DataFrame, tokenizer_path: str, out_dir: str | None = No
     for s in shards:
         s["first_token"] = first
         first += s["tokens"]
+    store, root = _store(out_dir)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps(shards).encode())
     return out_dir, shards
 
 
+def read_manifest(out_dir: str) -> list[dict]:
+    """The manifest of a folder that ``write_records`` made."""
+    store, root = _store(out_dir)
+    with store.open_input_stream(f"{root}/manifest.json") as f:
+        return json.loads(f.read())
+
+
 def read_index(uri: str) -> np.ndarray:
     """The entries of one shard's index, its checksum checked."""
     store, path = _store(uri)
@@ -120,10 +130,8 @@ def read_index(uri: str) -> np.ndarray:
     return np.frombuffer(raw[16:-4], dtype=ENTRY)
 
 
-def read_record(f, entry) -> np.ndarray:
-    """The ids of one record, by its index entry, lengths and checksums checked."""
-    f.seek(int(entry["offset"]))
-    raw = f.read(HEAD.size + int(entry["length"]) + 4)
+def parse_record(raw: bytes, entry) -> np.ndarray:
+    """The ids of one record's bytes, by its index entry, lengths and checksums checked."""
     size, check = HEAD.unpack_from(raw)
     body = raw[HEAD.size : -4]
     if size != len(body) or check != masked(raw[:8]) or struct.unpack("<I", raw[-4:])[0] != masked(body):
@@ -135,6 +143,22 @@ def read_record(f, entry) -> np.ndarray:
     return ids
 
 
+def read_entries(f, part: np.ndarray, most: int = 8 << 20) -> Iterator[np.ndarray]:
+    """The ids of each entry's record; records that follow one another are read at once, about ``most`` bytes at a time."""
+    ends = part["offset"] + part["length"] + HEAD.size + 4
+    k = 0
+    while k < len(part):
+        j = k + 1
+        while j < len(part) and part["offset"][j] == ends[j - 1] and ends[j] - part["offset"][k] <= most:
+            j += 1
+        first = int(part["offset"][k])
+        f.seek(first)
+        raw = f.read(int(ends[j - 1]) - first)
+        for e, end in zip(part[k:j], ends[k:j]):
+            yield parse_record(raw[int(e["offset"]) - first : int(end) - first], e)
+        k = j
+
+
 def read_shard(out_dir: str, path: str, first: int, with_ids: bool, shuffle_seed: int | None, size: int) -> Iterator[pa.RecordBatch]:
     """The records of one shard in batches of ``size``; ``first`` ids come before the shard."""
     index = read_index(f"{out_dir}/{path}.idx")
@@ -143,7 +167,7 @@ def read_shard(out_dir: str, path: str, first: int, with_ids: bool, shuffle_seed
     with store.open_input_file(root) as f:
         for i in range(0, len(order), size):
             part = index[order[i : i + size]]
-            ids = [read_record(f, e) for e in part]
+            ids = list(read_entries(f, part))
             out = {
                 "doc_id": pa.array(part["id"], mask=part["null"].astype(bool)),
                 "start": pa.array(part["start"].astype("i8") + first),
@@ -155,12 +179,14 @@ def read_shard(out_dir: str, path: str, first: int, with_ids: bool, shuffle_seed
             yield pa.RecordBatch.from_pydict(out)
 
 
-def read_records(spark: SparkSession, out_dir: str, manifest: list[dict], with_ids: bool = True, shuffle_seed: int | None = None, batch: int = 512) -> DataFrame:
+def read_records(spark: SparkSession, out_dir: str, manifest: list[dict] | None = None, with_ids: bool = True, shuffle_seed: int | None = None, batch: int = 512) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids, read from the files.
 
     With ``shuffle_seed`` shards and the records in each come in a random order, read through the index.
+    Without ``manifest`` the folder's own is read.
     """
     ship(spark)
+    manifest = read_manifest(out_dir) if manifest is None else manifest
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
