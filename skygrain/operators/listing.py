@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import names
 
 
-def parse_csv_listing(lines: DataFrame, value: str = "value") -> DataFrame:
-    """name, size from lines ``name, ..., size`` of a listing without its header; spaces after commas are ignored."""
-    row = F.from_csv(F.col(value), F.lit("name string, last_modified string, size bigint"), {"ignoreLeadingWhiteSpace": "true"})
-    return lines.select(row.alias("r")).select("r.name", "r.size").filter("name IS NOT NULL AND name <> 'name'")
+def parse_csv_listing(lines: DataFrame, value: str = "value", header: str = "name, last_modified, size") -> DataFrame:
+    """name, size from the lines of a listing whose columns ``header`` names, in any order; spaces after commas and the header line itself are ignored."""
+    names_ = [c.strip() for c in header.split(",")]
+    row = F.from_csv(F.col(value), F.lit(", ".join(f"`{c}` string" for c in names_)), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    size = F.try_to_number(F.col("r.size"), F.lit("9" * 18)).cast("long") if "size" in names_ else F.lit(None).cast("long")
+    return lines.select(row.alias("r")).select("r.name", size.alias("size")).filter("name IS NOT NULL AND name <> 'name'")
 
 
 def parse_json_listing(texts: DataFrame, value: str = "value") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +20,31 @@ def fifo_fold(items: Column, size: int, kind: str = "bigint") -> Column:
 
 
 def fifo_set(rows: DataFrame, key: str, seq: str, item: str, size: int, kind: str = "bigint") -> DataFrame:
-    """The set of each key. The order is total within a key, so keys are the unit of work: shard the stream by product."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(item).cast(kind).alias("x")))), lambda z: z["x"])
-    return rows.groupBy(key).agg(fifo_fold(ordered, size, kind).alias("held"))
+    """The set of each key. The order is total within a key, so keys are the unit of work: shard the stream by product.
+
+    Rows are sorted externally by key and sequence and folded as they come, so that a task holds one
+    set and never a key's rows. A null key is a key; a null item is an item; no rows give no sets.
+    """
+    name = rows.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, None
+        out = lambda: pa.RecordBatch.from_arrays([last, pa.array([list(seen.held)], types[1])], ["key", "held"])
+        types = (None, None)
+        for batch in batches:
+            types = (batch.schema[0].type, pa.list_(batch.schema[2].type))
+            keys, items = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for i, (k, x) in enumerate(zip(keys, items)):
+                if seen is None or k != last[0].as_py():
+                    if seen is not None:
+                        yield out()
+                    last, seen = batch.column(0).slice(i, 1), SeenSet(size)
+                seen.add(x)
+        if seen is not None:
+            yield out()
+
+    ordered = rows.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(item).cast(kind).alias("item")).repartition("key").sortWithinPartitions("key", "seq", "item")
+    return ordered.mapInArrow(fold, f"key {name}, held array<{kind}>").withColumnRenamed("key", key)
 
 
 class SeenSet:

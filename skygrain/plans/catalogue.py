@@ -100,15 +100,14 @@ def _granules(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("granule_id"), "vec_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(8).alias("height"), F.lit(8).alias("width"), *at, F.col("embedding").alias("aot"), F.transform("embedding", lambda v: (F.abs(v) * F.lit(10.0).cast("float")).cast("float")).alias("unc"))
 
 
-def _stations(spark, sf_dir, every: bool) -> DataFrame:
-    """All suppliers, or those that the SQL of the registered queries takes."""
+def _stations(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     lat, lon = 21.3 - F.pmod("s_suppkey", F.lit(13)) * F.lit(0.043), 104.93 + F.pmod("s_suppkey", F.lit(11)) * F.lit(0.047)
-    return (s if every else s.filter("s_suppkey < 20")).select(F.col("s_suppkey").cast("int").alias("station_id"), lat.alias("latitude"), lon.alias("longitude"))
+    return s.select(F.col("s_suppkey").cast("int").alias("station_id"), lat.alias("latitude"), lon.alias("longitude"))
 
 
 _POINTS = """g AS (SELECT vec_id, embedding FROM embeddings),
-s AS (SELECT s_suppkey AS station_id, 21.3::DOUBLE - (s_suppkey % 13) * 0.043::DOUBLE AS lat, 104.93::DOUBLE + (s_suppkey % 11) * 0.047::DOUBLE AS lon FROM supplier WHERE s_suppkey < 20),
+s AS (SELECT s_suppkey AS station_id, 21.3::DOUBLE - (s_suppkey % 13) * 0.043::DOUBLE AS lat, 104.93::DOUBLE + (s_suppkey % 11) * 0.047::DOUBLE AS lon FROM supplier),
 p AS (SELECT *, CAST(floor((21.2::DOUBLE - lat) / 0.05::DOUBLE) AS BIGINT) AS r, CAST(floor((lon - 105.0::DOUBLE) / 0.05::DOUBLE) AS BIGINT) AS c FROM s),
 v AS (SELECT station_id, vec_id, r, c, CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 THEN embedding[r * 8 + c + 1] END AS aot,
       CASE WHEN r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7 THEN CAST(abs(embedding[r * 8 + c + 1]) * 10::FLOAT AS FLOAT) END AS unc FROM p, g)"""
@@ -116,15 +115,15 @@ _GATE = "SELECT station_id, vec_id, tag, CASE WHEN aot IS NULL OR isnan(aot) OR
 
 
 @query(f"WITH {_POINTS} SELECT station_id, vec_id, r AS row, c AS col, CAST(aot AS DOUBLE) AS aot FROM v")
-def raster_point_lookup(spark, sf_dir, every=False):
-    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir, every))
+def raster_point_lookup(spark, sf_dir):
+    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir))
     return found.select("station_id", F.col("granule_id").cast("long").alias("vec_id"), "row", "col", F.col("aot").cast("double").alias("aot"))
 
 
 @query(f"WITH {_POINTS} {_GATE}")
-def station_observations(spark, sf_dir, every=False):
-    """The flagship: each station's cell in every granule, gated at six thresholds; with ``every``, all stations, beyond what its SQL takes."""
-    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir, every))
+def station_observations(spark, sf_dir):
+    """The flagship: each station's cell in every granule, gated at six thresholds."""
+    found = grids.sample(_granules(spark, sf_dir), _stations(spark, sf_dir))
     wide = found.withColumn("_t", F.explode(raster.thresholds()))
     return wide.select("station_id", F.col("granule_id").cast("long").alias("vec_id"), F.col("_t.tag").alias("tag"), raster.gate(F.col("aot"), F.col("unc"), F.col("_t.threshold")).alias("aot"))
 
@@ -168,56 +167,55 @@ def station_surrogate_key(spark, sf_dir):
     return keyed.select(F.col("n_name").alias("station_name"), F.col("station_id").cast("long").alias("station_id"))
 
 
-@query("SELECT c_custkey AS station_id, c_name AS station_name, total FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY o_custkey) ON c_custkey = o_custkey")
+@query("SELECT c_custkey AS station_id, c_name AS station_name, total FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS total FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 def wide_merge_left(spark, sf_dir):
-    new = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")).groupBy("o_custkey").agg(F.max("o_totalprice").alias("total"))
+    new = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("total"))
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station_id"), F.col("c_name").alias("station_name"))
     return old.join(new, F.col("station_id") == F.col("o_custkey"), "left").select("station_id", "station_name", "total")
 
 
-_DAYS = [f"202401{d:02d}" for d in range(1, 8)]
+# The days that the tables' events span; the query itself finds them.
+_DAYS = [f"202401{d:02d}" for d in range(1, 31)]
 
 
 @query("SELECT user_id, " + ", ".join(f"max(value) FILTER (WHERE strftime(ts, '%Y%m%d') = '{d}') AS AOT_{d}" for d in _DAYS) + " FROM events GROUP BY user_id")
-def station_time_pivot(spark, sf_dir, every=False):
-    """A column for each day of the events if ``every``, else for the days that the SQL lists."""
+def station_time_pivot(spark, sf_dir):
+    """A column for each day from the first to the last event; a span of time, whatever the rows."""
     events = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyyMMdd").alias("day"), "value")
-    days = [r["day"] for r in events.filter("day IS NOT NULL").select("day").distinct().orderBy("day").collect()] if every else _DAYS
+    days = [r["day"] for r in events.filter("day IS NOT NULL").select("day").distinct().orderBy("day").collect()]
     wide = events.groupBy("user_id").pivot("day", days).agg(F.max("value"))
     return wide.select("user_id", *[F.col(d).alias(f"AOT_{d}") for d in days])
 
 
-def _arrivals(spark, sf_dir, every: bool) -> DataFrame:
-    """All arrivals, or those that the SQL of the registered queries takes."""
-    events = table(spark, sf_dir, "events")
-    return (events if every else events.filter("event_type = 'error' AND user_id < 40")).select("ts")
+def _arrivals(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("ts")
 
 
-_SPINE = """p AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'error' AND user_id < 40),
+_SPINE = """p AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events),
 s AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS h FROM (SELECT min(h) AS lo, max(h) AS hi FROM p)),
 m AS (SELECT h, h - to_hours(row_number() OVER (ORDER BY h)) AS island FROM s WHERE h NOT IN (SELECT h FROM p)),
 g AS (SELECT min(h) AS gap_start, max(h) AS gap_end, count(*) AS n FROM m GROUP BY island)"""
 
 
 @query(f"WITH {_SPINE} SELECT CAST(gap_start AS TIMESTAMP) AS gap_start, CAST(gap_end AS TIMESTAMP) AS gap_end, n FROM g WHERE n >= 6")
-def hour_gap_scan(spark, sf_dir, every=False):
-    return gaps.gaps(gaps.spine(_arrivals(spark, sf_dir, every), "ts"), 6)
+def hour_gap_scan(spark, sf_dir):
+    return gaps.gaps(gaps.spine(_arrivals(spark, sf_dir), "ts"), 6)
 
 
-@query("""WITH p AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS d FROM orders WHERE o_custkey % 5 = 0),
+@query("""WITH p AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS d FROM orders),
 s AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT min(d) AS lo, max(d) AS hi FROM p)),
 f AS (SELECT min(d) AS cut FROM s WHERE d NOT IN (SELECT d FROM p))
 SELECT CAST(d AS TIMESTAMP) AS part FROM p, f WHERE cut IS NULL OR d < cut""")
-def first_gap_prefix(spark, sf_dir, every=False):
+def first_gap_prefix(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    return gaps.before_first_gap(gaps.spine(orders if every else orders.filter("o_custkey % 5 = 0"), "o_orderdate", "DAY"))
+    return gaps.before_first_gap(gaps.spine(orders, "o_orderdate", "DAY"))
 
 
 @query(f"WITH {_SPINE} SELECT CAST(coalesce((SELECT min(gap_start) FROM g WHERE n >= 24), (SELECT date_trunc('hour', max(ts)) FROM events) - INTERVAL 2 HOUR) AS TIMESTAMP) AS resume_at")
-def resume_cursor(spark, sf_dir, every=False):
+def resume_cursor(spark, sf_dir):
     as_of = table(spark, sf_dir, "events").agg(F.date_trunc("HOUR", F.max("ts")).alias("t")).first()["t"]
     end = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 2 HOURS")
-    return gaps.resume_at(gaps.spine(_arrivals(spark, sf_dir, every), "ts"), 24, end)
+    return gaps.resume_at(gaps.spine(_arrivals(spark, sf_dir), "ts"), 24, end)
 
 
 @query("SELECT event_id, ts FROM events, (SELECT date_trunc('hour', max(ts)) AS h FROM events) WHERE ts >= h - INTERVAL 2 HOUR AND ts < h")
@@ -277,25 +275,63 @@ def station_region_project(spark, sf_dir):
     return joined.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("elevation"))
 
 
-@query("""WITH o AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS ts, 0.5 AS threshold, max(value) AS aot FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+@query("""WITH o AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS ts, 0.5 AS threshold, max(value) AS aot FROM events WHERE event_type <> 'click' GROUP BY 1, 2),
 n AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS ts, 0.5 AS threshold, max(value) AS aot FROM events WHERE event_type = 'click' GROUP BY 1, 2)
 SELECT station_id, CAST(ts AS TIMESTAMP) AS ts, aot FROM n UNION ALL SELECT station_id, CAST(ts AS TIMESTAMP), aot FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.station_id = o.station_id AND n.ts = o.ts)""")
 def observation_upsert(spark, sf_dir):
-    def of(kind):
-        rows = table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
+    def of(part):
+        rows = table(spark, sf_dir, "events").filter(part)
         return rows.groupBy(F.col("user_id").alias("station_id"), F.date_trunc("HOUR", "ts").alias("ts")).agg(F.max("value").alias("aot")).withColumn("threshold", F.lit(0.5))
 
-    return timeseries.latest(of("view"), of("click")).select("station_id", "ts", "aot")
+    return timeseries.latest(of("event_type <> 'click'"), of("event_type = 'click'")).select("station_id", "ts", "aot")
 
 
-@query()
+@query("""SELECT concat('X', doc_id, '.nc') AS name FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def stem_anti_join(spark, sf_dir):
+    remote = table(spark, sf_dir, "documents").select(F.concat(F.lit("X"), F.col("doc_id").cast("string"), F.lit(names.GRID_SUFFIX)).alias("name"))
+    local = table(spark, sf_dir, "labels").select(F.concat(F.lit(names.LOCAL_PREFIX + "X"), F.col("doc_id").cast("string"), F.lit(names.LOCAL_SUFFIX)).alias("name"))
+    return listing.missing_by_stem(remote, local)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
+def compacted_log(spark, sf_dir):
+    """A log longer than 500 lines and larger than 1000 bytes keeps its last 500 lines."""
+    return recency.compact_log(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", "event_type", 500, 1000)
+
+
+_SHAPE = grids.rings_to_edges([[(105.01, 21.19), (105.33, 21.13), (105.07, 20.83)]])
+_SHAPE_ROWS = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in _SHAPE)
+
+
+@query(f"""WITH e(x1, y1, x2, y2) AS (VALUES {_SHAPE_ROWS}),
+k AS (SELECT i, 105.0::DOUBLE + (i % 8 + 0.5::DOUBLE) * 0.05::DOUBLE AS x, 21.2::DOUBLE - (i // 8 + 0.5::DOUBLE) * 0.05::DOUBLE AS y FROM (SELECT unnest(range(0, 64)) AS i)),
+h AS (SELECT i, count(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 END) % 2 = 1 AS inside FROM k, e GROUP BY i)
+SELECT vec_id, i // 8 AS row, i % 8 AS col, CASE WHEN inside THEN CAST(embedding[i + 1] AS DOUBLE) END AS v FROM embeddings, h""")
+def granule_mask(spark, sf_dir):
+    masked = grids.mask(_granules(spark, sf_dir), _SHAPE)
+    return grids.pixels(masked, "vec_id").select("vec_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("aot").cast("double").alias("v"))
+
+
+_HOURS = [f"20240115_{h:02d}00" for h in (0, 6, 12, 18)]
+
+
+@query("SELECT c_custkey AS station_id, c_name AS station_name, c_acctbal AS latitude, CAST(c_nationkey AS DOUBLE) AS longitude, " + ", ".join(f"max(value) FILTER (WHERE strftime(date_trunc('hour', ts), '%Y%m%d_%H%M') = '{t}') AS AOT_{t}" for t in _HOURS) + " FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL")
+def wide_presentation(spark, sf_dir):
+    """The wide table of the four times of a day that a file of it has."""
+    obs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("station_id"), F.date_trunc("HOUR", "ts").alias("ts")).agg(F.max("value").alias("aot")).withColumn("threshold", F.lit(0.5).cast("float"))
+    stations = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station_id"), F.col("c_name").alias("station_name"), F.col("c_acctbal").alias("latitude"), F.col("c_nationkey").cast("double").alias("longitude"))
+    return timeseries.wide(obs, stations, 0.5, _HOURS)
+
+
+@query("""SELECT DISTINCT event_type AS product, user_id AS name FROM events WHERE event_type <> 'error'
+OR ts > (SELECT date_trunc('milliseconds', max(ts)) FROM events WHERE event_type <> 'error') - INTERVAL 2 HOUR""")
 def late_drop_stream(spark, sf_dir):
     from ..streaming.poll import late_dropped
 
     return late_dropped(spark, sf_dir)
 
 
-@query()
+@query("SELECT conv_id, turn, 'group' AS kind, 'turn' AS name, NULL::INTEGER AS n FROM conversations UNION ALL SELECT conv_id, turn, 'dataset', 'turn/text', 1 FROM conversations")
 def hdf_tree_udtf(spark, sf_dir):
     from ..sources.tree import nested_tree
 

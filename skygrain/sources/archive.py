@@ -9,6 +9,7 @@ is the poll: the offset is the next part, and a part that fails is not passed.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -66,7 +67,8 @@ def list_part(s: dict, ts: datetime) -> list[tuple]:
 
 class _Reader(DataSourceReader):
     def __init__(self, s: dict):
-        self.s, self.low, self.high = s, datetime.fromisoformat(s["start"]), datetime.fromisoformat(s["end"])
+        self.s, self.low = s, datetime.fromisoformat(s["start"])
+        self.high = datetime.fromisoformat(s["end"]) if s["end"] else datetime.utcnow()
 
     def partitions(self):
         step, start = _STEP[self.s["layout"]], datetime.fromisoformat(self.s["start"])
@@ -128,21 +130,29 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
 
 
-def fetch(listing: DataFrame, scheme: str = "file", per_task: int = 50, retries: int = 3, pause: float = 1.0, backoff: bool = False, **access) -> DataFrame:
+def fetch(listing: DataFrame, scheme: str = "file", per_task: int = 50, retries: int = 3, pause: float = 1.0, backoff: bool = False, throttle: float = 0.0, renew_after: float = 1800.0, batch_bytes: int = 32 << 20, **access) -> DataFrame:
     """LEDGER rows and ``content`` of each listed file. Errors become rows with a status; nothing is half written.
 
-    Files are dealt evenly; a task keeps one connection and renews it after ``per_task`` files.
+    Files are dealt evenly; a task keeps one connection and renews it after ``per_task`` files, ``renew_after``
+    seconds or an error. ``throttle`` seconds lie between two files of a task. Contents are handed on once
+    ``batch_bytes`` are held.
     """
+    columns = ["product", "part_ts", "name", "status", "bytes", "at", "reason", "content"]
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        link, used = None, 0
+        link, used, opened, first = None, 0, 0.0, True
         for batch in batches:
-            out = []
+            out, held = [], 0
             for r in batch.itertuples(index=False):
                 content, status, reason = None, "new", None
+                if throttle and not first:
+                    time.sleep(throttle)
+                first = False
                 try:
-                    if link is None or used >= per_task:
-                        link, used = connect(scheme, **access), 0
+                    if link is None or used >= per_task or time.monotonic() - opened >= renew_after:
+                        if link is not None:
+                            link.close()
+                        link, used, opened = connect(scheme, **access), 0, time.monotonic()
                     content = attempt(lambda url=r.url: link.fetch(url), retries, pause, backoff)
                     used += 1
                     if not content:
@@ -154,7 +164,11 @@ def fetch(listing: DataFrame, scheme: str = "file", per_task: int = 50, retries:
                 except Exception as e:
                     status, reason, link = "error", f"{type(e).__name__}: {e}", None
                 out.append((r.product, r.part_ts, r.name, status, len(content or b""), pd.Timestamp.utcnow().tz_localize(None), reason, content))
-            yield pd.DataFrame(out, columns=["product", "part_ts", "name", "status", "bytes", "at", "reason", "content"])
+                held += len(content or b"")
+                if held >= batch_bytes:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
         if link is not None:
             link.close()
 

@@ -45,12 +45,10 @@ def decode(files: DataFrame, product: str = "aerosol", decoders: dict | None = N
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for name, content in zip(batch["name"], batch["content"]):
                 suffix = next((s for s in known if name.endswith(s)), None)
-                if suffix and content is not None:
-                    out.append({"granule_id": name, "product": product, "crs": "EPSG:4326"} | known[suffix](bytes(content)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in GRID.split(", ")])
+                if suffix and content is not None:  # a grid at a time, since grids are large
+                    yield pd.DataFrame([{"granule_id": name, "product": product, "crs": "EPSG:4326"} | known[suffix](bytes(content))], columns=[c.split()[0] for c in GRID.split(", ")])
 
     return files.select("name", "content").mapInPandas(rows, GRID)
 
@@ -61,6 +59,38 @@ def read_stations(spark, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(STATION).csv(path).withColumnRenamed("name", "station_name")
 
 
+def read_wide(spark, path: str, threshold: float, prefix: str = "AOT_") -> DataFrame:
+    """A wide station table (CSV with a header, a column a time key) as long rows: station_id, ts, threshold, aot; empty fields are no rows."""
+    table = spark.read.option("header", True).csv(path)
+    times = [c for c in table.columns if c.startswith(prefix)]
+    if not times:
+        return table.select(F.col("station_id").cast("int").alias("station_id"), F.lit(None).cast("timestamp").alias("ts"), F.lit(threshold).cast("float").alias("threshold"), F.lit(None).cast("double").alias("aot")).filter("false")
+    long = table.unpivot(["station_id"], times, "key", "aot").filter("aot IS NOT NULL")
+    at = F.try_to_timestamp(F.substring("key", len(prefix) + 1, 64), F.lit("yyyyMMdd_HHmm"))
+    return long.select(F.col("station_id").cast("int").alias("station_id"), at.alias("ts"), F.lit(threshold).cast("float").alias("threshold"), F.col("aot").cast("double").alias("aot"))
+
+
+def shapefile_edges(content: bytes) -> list[tuple[float, float, float, float]]:
+    """Edges of all rings of the polygons of a shapefile's bytes (.shp: ESRI's published layout, shape types 5, 15 and 25)."""
+    import struct
+
+    from ..operators.grids import rings_to_edges
+
+    if len(content) < 100 or struct.unpack_from(">i", content)[0] != 9994:
+        raise ValueError("no shapefile")
+    rings, at = [], 100
+    while at + 8 <= len(content):
+        words = struct.unpack_from(">i", content, at + 4)[0]
+        body = at + 8
+        if struct.unpack_from("<i", content, body)[0] in (5, 15, 25):
+            parts, points = struct.unpack_from("<ii", content, body + 36)
+            starts = [*struct.unpack_from(f"<{parts}i", content, body + 44), points]
+            xy = struct.unpack_from(f"<{2 * points}d", content, body + 44 + 4 * parts)
+            rings += [[(xy[2 * k], xy[2 * k + 1]) for k in range(lo, hi)] for lo, hi in zip(starts, starts[1:])]
+        at = body + 2 * words
+    return rings_to_edges(rings)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small presentation table as one CSV file with a header; nulls are empty fields."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

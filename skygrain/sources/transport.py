@@ -97,7 +97,7 @@ class HttpsTransport:
         try:
             rows = csv.DictReader(io.StringIO(self._get(path + ".csv").decode()), skipinitialspace=True)
             return [(r["name"], int(r["size"]) if r.get("size") else None) for r in rows]
-        except (KeyError, ValueError, urllib.error.HTTPError):
+        except (Missing, KeyError, ValueError, urllib.error.HTTPError):
             return [(r["name"], r.get("size")) for r in json.loads(self._get(path + ".json")).get("content", [])]
 
     fetch = _get

@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grids, timeseries
+from ..operators import gaps, grids, timeseries
+from ..sources.config import ARCHIVES
 
 # The archives' polling intervals.
 TRIGGERS = {"aerosol": "10 minutes", "precipitation": "6 hours", "surface_temperature": "24 hours"}
@@ -43,7 +44,9 @@ def start_observations(granules: DataFrame, stations: DataFrame, edges: list[tup
         try:
             days = [r["day"] for r in obs.select(F.date_format("ts", "yyyy-MM-dd").alias("day")).distinct().collect()]
             old = spark.read.parquet(path).filter(F.col("day").isin(days)).drop("day")
-            obs = timeseries.latest(old, obs).checkpoint()
+            merged = f"{work_dir(spark)}/merged"  # written apart first, since the days read are overwritten
+            timeseries.latest(old, obs).write.parquet(merged)
+            obs = spark.read.parquet(merged)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -56,6 +59,8 @@ def start_observations(granules: DataFrame, stations: DataFrame, edges: list[tup
 def work_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     if named:
         import uuid
 
@@ -63,17 +68,31 @@ def work_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="skygrain-stream-")
 
 
-def run_once(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """All that a stream has now, written to the shared folder and read back."""
-    base = work_dir(spark)
+def run_once(stream: DataFrame, spark: SparkSession, base: str | None = None) -> DataFrame:
+    """All that a stream has now, written to the shared folder and read back; with the same ``base`` again, what has come since is added."""
+    base = base or work_dir(spark)
     query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def late_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as arrivals: each (type, user) once within the two-hour watermark."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    rows = rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("product"), F.col("user_id").alias("name"))
-    return run_once(once(rows), spark)
+    """Events as arrivals in two polls, errors last: each (type, user) once, without errors that come two hours or more behind the newest other event."""
+    base = work_dir(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("product"), F.col("user_id").alias("name"))
+    for poll, part in (("first", "product <> 'error'"), ("second", "product = 'error'")):
+        events.filter(part).write.mode("overwrite").parquet(f"{base}/in/{poll}")
+        arrivals = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        found = run_once(once(arrivals), spark, base)
+    return found.select("product", "name")
+
+
+def resume_from(ledger: DataFrame, product: str, otherwise):
+    """Where a backfill of an archive takes up again: the first part of the first gap as long as the archive's ``max_missing``, or ``otherwise`` (a time).
+
+    ``ledger`` has product, part_ts and status; parts with a file that is held count as present.
+    """
+    known = ARCHIVES[product]
+    held = ledger.filter((F.col("product") == product) & F.col("status").isin("new", "existing")).select(F.col("part_ts").cast("timestamp_ntz").alias("part_ts"))
+    line = gaps.spine(held, "part_ts", "HOUR" if known["layout"] == "hourly" else "DAY")
+    return gaps.resume_at(line, known["max_missing"], F.lit(otherwise).cast("timestamp_ntz")).first()["resume_at"]

@@ -20,14 +20,16 @@ def new_items(stream: DataFrame, key: str, seq: str, item: str, size: int = 5000
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
+        # The order of a micro-batch is that of seq, so its numbers are sorted whole; texts of a key's batch are held once.
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
         seen = SeenSet(size)
         seen.held = dict.fromkeys(state.get[0]) if state.exists else {}
-        fresh = [seen.add(x) for x in rows["item"].tolist()]
+        for i in range(0, len(rows), 10_000):
+            part = rows.iloc[i : i + 10_000]
+            out = part[[seen.add(x) for x in part["item"]]].copy()
+            out["key"] = name[0]
+            yield out[["key", "seq", "item"]]
         state.update((list(seen.held),))
-        out = rows[fresh].copy()
-        out["key"] = name[0]
-        yield out[["key", "seq", "item"]]
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(seq).cast("long").alias("seq"), F.col(item).cast("string").alias("item"))
     return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, item string", "held array<string>", "append", GroupStateTimeout.NoTimeout)

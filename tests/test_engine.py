@@ -52,6 +52,23 @@ def test_lookup_and_gate(spark):
     assert [got[2, t] for t in ("05", "1")] == [None, None] and math.isclose(got[2, "12"], 1.5, rel_tol=1e-6)
 
 
+def test_sample_is_the_same_in_any_blocks(spark):
+    stations = spark.createDataFrame([*STATIONS, (5, -40.0, 10.0)], "station_id int, latitude double, longitude double")
+    show = lambda df: sorted(map(repr, df.collect()))
+    one, many, shuffled = (show(grids.sample(_granule(spark), stations, n, b)) for n, b in ((6, 10_000), (6, 2), (3_000_000, 1_000_000)))
+    assert one == many == shuffled and len(one) == 6
+    assert grids.sample(_granule(spark), stations.limit(0)).count() == 0
+
+
+def test_outline_of_many_edges(spark):
+    ring = [(105.1 + 0.09 * math.cos(2 * math.pi * k / 300), 21.1 + 0.09 * math.sin(2 * math.pi * k / 300)) for k in range(300)]
+    edges = grids.rings_to_edges([ring])
+    small = grids.rings_to_edges([ring[::10]])  # the same cells are inside
+    many, few = (grids.pixels(grids.mask(_granule(spark), e)).orderBy("row", "col").collect() for e in (edges, small))
+    assert len(edges) == 300 and [r.aot for r in many] == [r.aot for r in few]
+    assert [r.aot is None for r in many[:2]] == [True, False]
+
+
 def test_mask_modes(spark):
     edges = grids.rings_to_edges([[(105.0, 21.2), (105.2, 21.2), (105.0, 21.0)]])
     zero, null = (_gated(spark, grids.clip(_granule(spark), edges, m)) for m in ("zero", "null"))
@@ -118,6 +135,85 @@ def test_archive_source_and_fetch(spark, tmp_path):
     assert sorted(r.name for r in run_once(stream, spark).collect()) == sorted(r.name for r in listed.collect())
 
 
+def test_sources_and_wide_tables(spark, tmp_path):
+    import struct
+
+    from skygrain.sources import decode
+
+    ring = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2i1i", 5, 0, 0, 2, 2, 1, 4, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    shp = struct.pack(">i", 9994) + bytes(96) + struct.pack(">2i", 1, len(body) // 2) + body
+    assert decode.shapefile_edges(shp) == grids.rings_to_edges([ring])
+    assert decode.polygon_edges(spark, '{"type": "Polygon", "coordinates": [[[0,0],[0,2],[2,2],[0,0]]]}') == grids.rings_to_edges([ring])
+    obs = spark.sql("SELECT 1 AS station_id, timestamp '2024-01-15 06:00:00' AS ts, float(0.5) AS threshold, 0.25D AS aot")
+    stations = spark.createDataFrame([(1, "a", 1.0, 2.0), (2, "b", 1.0, 2.0)], "station_id int, station_name string, latitude double, longitude double")
+    decode.write_csv(timeseries.wide(obs, stations, 0.5, ["20240115_0600", "20240115_1200"]), f"{tmp_path}/wide")
+    assert [tuple(r) for r in decode.read_wide(spark, f"{tmp_path}/wide", 0.5).collect()] == [tuple(r) for r in obs.collect()]
+    lines = spark.createDataFrame([("size, name",), ("12, a.hdf",), (", b.hdf",)], "value string")
+    assert [tuple(r) for r in listing.parse_csv_listing(lines, header="size, name").collect()] == [("a.hdf", 12), ("b.hdf", None)]
+    text = spark.createDataFrame([('{"content": [{"name": "a", "size": 3}]}',), ("{}",)], "value string")
+    assert [tuple(r) for r in listing.parse_json_listing(text).collect()] == [("a", 3)]
+    (tmp_path / "held").mkdir()
+    (tmp_path / "held" / "x.tif").write_bytes(b"123")
+    assert [tuple(r) for r in listing.inventory(spark, f"{tmp_path}/held", "*.tif").collect()] == [("x.tif", 3)]
+    assert listing.inventory(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_http_listing_and_fetch(tmp_path):
+    import http.server
+    import threading
+
+    from skygrain.sources import transport
+
+    (tmp_path / "d.csv").write_text("name, last_modified, size\na.hdf, x, 5\n")
+    (tmp_path / "e.json").write_text('{"content": [{"name": "b.hdf", "size": 7}]}')
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        link = transport.connect("http", host=f"127.0.0.1:{server.server_port}", token="t")
+        assert link.list("/d") == [("a.hdf", 5)] and link.list("/e") == [("b.hdf", 7)]
+        assert link.fetch("/d.csv").startswith(b"name")
+        with pytest.raises(transport.Missing):
+            link.fetch("/none")
+        server.shutdown()
+    waits = []
+    with pytest.raises(OSError):
+        transport.attempt(lambda: (_ for _ in ()).throw(OSError("x")), 3, 1.0, True, waits.append)
+    assert waits == [1.0, 2.0]
+
+
+def test_archive_to_observations(spark, tmp_path):
+    """Listing, fetch, decoding, clipping, sampling, gating and the table's update by stream, in two polls; the ledger tells where to resume."""
+    import json
+
+    from skygrain.sources import decode
+    from skygrain.streaming import poll
+
+    for day in ("2025/06/30", "2025/07/01"):
+        (tmp_path / "archive" / day).mkdir(parents=True)
+        grid = {"height": 4, "width": 4, "longitude": [105.0, 105.05, 105.1, 105.15], "latitude": [21.2, 21.15, 21.1, 21.05], "aot": [0.1 * i for i in range(16)], "unc": [0.2] * 16}
+        (tmp_path / "archive" / day / "g.json").write_text(json.dumps(grid))
+    archive.register(spark)
+    at = {"root": f"{tmp_path}/archive", "layout": "daily", "start": "2025-06-30 00:00:00", "end": "2025-07-02 00:00:00"}
+    got = archive.fetch(spark.read.format("skygrain_archive").options(**at).load(), throttle=0.01, batch_bytes=10).cache()
+    assert sorted(r.status for r in got.collect()) == ["new", "new"]
+    grids_ = decode.decode(got.withColumn("name", F.concat(F.date_format("part_ts", "yyyyMMdd"), F.lit(".json"))), decoders={".json": json.loads})
+    granules = grids.georeference(grids.north_up(grids_)).withColumn("ts", F.to_timestamp(F.substring("granule_id", 1, 8), "yyyyMMdd"))
+    grids.write_granules(granules, f"{tmp_path}/granules")
+    stations = spark.createDataFrame(STATIONS, "station_id int, latitude double, longitude double")
+    edges = grids.rings_to_edges([[(104.0, 22.0), (106.0, 22.0), (106.0, 20.0), (104.0, 20.0)]])
+    stream = lambda: spark.readStream.schema(spark.read.parquet(f"{tmp_path}/granules").schema).parquet(f"{tmp_path}/granules")
+    for _ in range(2):  # the second poll finds a granule of a day again
+        poll.start_observations(stream(), stations, edges, f"{tmp_path}/obs", f"{tmp_path}/check", available_now=True).awaitTermination()
+        grids.write_granules(granules.filter("granule_id = '20250701.json'").withColumn("aot", F.transform("aot", lambda v: (v + 1).cast("float"))), f"{tmp_path}/granules")
+    table = spark.read.parquet(f"{tmp_path}/obs").filter("station_id = 0 AND threshold = 0.5").orderBy("ts").collect()
+    assert [round(r.aot, 6) for r in table] == [0.0, 1.0]
+    assert spark.read.parquet(f"{tmp_path}/obs").count() == 2 * len(STATIONS) * 6
+    ledger = got.select(F.lit("precipitation").alias("product"), "part_ts", "status").unionByName(spark.sql("SELECT 'precipitation' AS product, timestamp '2025-07-04 00:00:00' AS part_ts, 'existing' AS status"))
+    assert str(poll.resume_from(ledger, "precipitation", "2025-07-09 00:00:00")) == "2025-07-02 00:00:00"
+    assert str(poll.resume_from(ledger, "aerosol", "2025-07-09 00:00:00")) == "2025-07-09 00:00:00"
+
+
 def test_streams_run(spark):
     assert catalogue.late_drop_stream(spark, SF).count() > 0
     batch = recency.SeenSet(20)

@@ -1,4 +1,4 @@
-"""The catalogue's queries over all rows, where their SQL takes a part, on small tables."""
+"""The catalogue's queries over all rows, against small tables worked out by hand."""
 
 import datetime as dt
 
@@ -14,11 +14,11 @@ def _put(spark, tmp_path, name, rows, schema):
 def test_every_station_is_observed(spark, tmp_path):
     _put(spark, tmp_path, "supplier", [(i,) for i in range(30)], "s_suppkey long")
     _put(spark, tmp_path, "embeddings", [(1, [i / 64 for i in range(64)])], "vec_id long, embedding array<float>")
-    found = {r.station_id: r.aot for r in catalogue.raster_point_lookup(spark, str(tmp_path), every=True).collect()}
+    found = {r.station_id: r.aot for r in catalogue.raster_point_lookup(spark, str(tmp_path)).collect()}
     for i in range(30):
         r, c = ((21.2 - (21.3 - i % 13 * 0.043)) // 0.05, ((104.93 + i % 11 * 0.047) - 105.0) // 0.05)
         assert found[i] == ((r * 8 + c) / 64 if 0 <= r <= 7 and 0 <= c <= 7 else None), i
-    gated = catalogue.station_observations(spark, str(tmp_path), every=True)
+    gated = catalogue.station_observations(spark, str(tmp_path))
     assert gated.groupBy("station_id").agg(F.countDistinct("tag").alias("n")).filter("n = 6").count() == 30
 
 
@@ -29,15 +29,15 @@ def test_gaps_of_all_arrivals(spark, tmp_path):
     _put(spark, tmp_path, "events", events, "ts timestamp_ntz, event_type string, user_id long")
     days = [d for d in range(20) if d != 12]
     _put(spark, tmp_path, "orders", [(start + dt.timedelta(days=d), d) for d in days], "o_orderdate timestamp_ntz, o_custkey long")
-    found = catalogue.hour_gap_scan(spark, str(tmp_path), every=True).orderBy("gap_start").collect()
+    found = catalogue.hour_gap_scan(spark, str(tmp_path)).orderBy("gap_start").collect()
     assert [(r.gap_start, r.n) for r in found] == [(start + dt.timedelta(hours=10), 10), (start + dt.timedelta(hours=30), 30)]
-    assert catalogue.resume_cursor(spark, str(tmp_path), every=True).first().resume_at == start + dt.timedelta(hours=30)
-    assert catalogue.first_gap_prefix(spark, str(tmp_path), every=True).count() == 12
+    assert catalogue.resume_cursor(spark, str(tmp_path)).first().resume_at == start + dt.timedelta(hours=30)
+    assert catalogue.first_gap_prefix(spark, str(tmp_path)).count() == 12
 
 
 def test_pivot_has_every_day(spark, tmp_path):
     start = dt.datetime(2024, 1, 5)
     _put(spark, tmp_path, "events", [(d % 2, start + dt.timedelta(days=d), float(d)) for d in range(30)], "user_id long, ts timestamp_ntz, value double")
-    wide = catalogue.station_time_pivot(spark, str(tmp_path), every=True)
+    wide = catalogue.station_time_pivot(spark, str(tmp_path))
     assert wide.columns == ["user_id", *[f"AOT_{start + dt.timedelta(days=d):%Y%m%d}" for d in range(30)]]
     assert sum(v is not None for r in wide.collect() for v in r[1:]) == 30
