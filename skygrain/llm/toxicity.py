@@ -34,7 +34,7 @@ class FuzzyLexicon:
     more within two edits, the others within one.
     """
 
-    def __init__(self, terms: dict[str, float], known: set[str] = frozenset(), fuzzy_from: int = 5, twice_from: int = 10, max_states: int = 200_000):
+    def __init__(self, terms: dict[str, float], known: set[str] = frozenset(), fuzzy_from: int = 5, twice_from: int = 12, max_states: int = 200_000):
         self.terms, self.known, self.fuzzy_from, self.twice_from, self.max_states = terms, known, fuzzy_from, twice_from, max_states
         self.children: list[dict[str, int]] = [{}]
         self.term_at: dict[int, str] = {}

@@ -324,7 +324,7 @@ def test_fuzzy_lexicon_against_all_distances():
                 w[at : at + rng.integers(0, 2)] = word(rng.integers(0, 2))
             words.append("".join(w))
     for w in words:
-        near = [(d, -terms[t], t) for t in terms if (d := _distance(w, t)) <= (2 if len(t) >= 10 else 1 if len(t) >= 5 else 0)]
+        near = [(d, -terms[t], t) for t in terms if (d := _distance(w, t)) <= (2 if len(t) >= 12 else 1 if len(t) >= 5 else 0)]
         want = (w, 0) if w in terms else None if w in lex.known or not near else (min(near)[2], min(near)[0])
         assert lex.match(w) == want, w
 
