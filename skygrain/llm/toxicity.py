@@ -31,7 +31,8 @@ class FuzzyLexicon:
 
     A state is a set of (trie node, edits used); states and their steps are made when a word first needs
     them. Terms shorter than ``fuzzy_from`` letters match exactly only, those of ``twice_from`` letters or
-    more within two edits, the others within one.
+    more within two edits, the others within one. A term cut into one part more than its edits has a part
+    that no edit touches, so words that hold no part of a term at a place it can have moved to skip the automaton.
     """
 
     def __init__(self, terms: dict[str, float], known: set[str] = frozenset(), fuzzy_from: int = 5, twice_from: int = 10, max_states: int = 200_000):
@@ -39,9 +40,12 @@ class FuzzyLexicon:
         self.children: list[dict[str, int]] = [{}]
         self.term_at: dict[int, str] = {}
         self.most = [0]  # edits allowed to any term below a node
+        self.by_length: dict[int, list[str]] = {}
+        self.parts: dict[int, list[tuple[int, int, set[str]]]] = {}
         for term in sorted(terms):
             if len(term) >= fuzzy_from:
                 node, edits = 0, self.edits(term)
+                self.by_length.setdefault(len(term), []).append(term)
                 self.most[0] = max(self.most[0], edits)
                 for c in term:
                     if c not in self.children[node]:
@@ -70,7 +74,8 @@ class FuzzyLexicon:
             node, used = todo.pop()
             if used <= self.most[node] and used < least.get(node, 9):
                 least[node] = used
-                todo += [(child, used + 1) for child in self.children[node].values()]  # a letter of the term is missing
+                if used < self.most[node]:
+                    todo += [(child, used + 1) for child in self.children[node].values()]  # a letter of the term is missing
         key = frozenset(least.items())
         if key not in self.number:
             self.number[key] = len(self.states)
@@ -84,8 +89,9 @@ class FuzzyLexicon:
                 child = self.children[node].get(c)
                 if child is not None:
                     after.add((child, used))
-                after.add((node, used + 1))  # an extra letter
-                after |= {(x, used + 1) for x in self.children[node].values()}  # another letter
+                if used < self.most[node]:
+                    after.add((node, used + 1))  # an extra letter
+                    after |= {(x, used + 1) for x in self.children[node].values()}  # another letter
             self.steps[state, c] = self._state(after)
         return self.steps[state, c]
 
@@ -101,11 +107,29 @@ class FuzzyLexicon:
         self.seen[word] = found
         return found
 
+    def _parts(self, length: int) -> list[tuple[int, int, set[str]]]:
+        """(start, end, parts of terms that an unedited part of a word of this length can be there)."""
+        if length not in self.parts:
+            at: dict[tuple[int, int], set[str]] = {}
+            for n in range(length - 2, length + 3):
+                for term in self.by_length.get(n, ()):
+                    edits = self.edits(term)
+                    cuts = [n * i // (edits + 1) for i in range(edits + 2)]
+                    for first, last in zip(cuts, cuts[1:]):
+                        for moved in range(-edits, edits + 1):
+                            # Letters gained before the part and behind it are edits, too.
+                            if abs(moved) + abs(length - n - moved) <= edits and 0 <= first + moved and last + moved <= length:
+                                at.setdefault((first + moved, last + moved), set()).add(term[first:last])
+            self.parts[length] = [(first, last, found) for (first, last), found in at.items()]
+        return self.parts[length]
+
     def _find(self, word: str) -> tuple[str, int] | None:
         if word in self.terms:
             return word, 0
         if word in self.known or len(word) < self.fuzzy_from - 1:
             return None
+        if not any(word[first:last] in found for first, last, found in self._parts(len(word))):
+            return None
         state = self.start
         for c in word:
             state = self._step(state, c)
@@ -131,19 +155,22 @@ def is_quoted(before: str, after: str) -> bool:
 def hits(text: str | None, lexicon: FuzzyLexicon) -> tuple[list[tuple], int]:
     """((start, end, term, edits, weight, quoted) of every hit, number of words). Places are code points of the whole text."""
     words = _WORD.findall(text.lower()) if text else []
-    if not any(map(lexicon.match, set(words))):
+    near_terms = {w: found for w in set(words) if (found := lexicon.match(w))}
+    if not near_terms:
         return [], len(words)
-    spans = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if len(spans) != len(words):  # a few letters become two code points in lower case
+        words = [text[start:end].lower() for start, end in spans]
+        near_terms = {w: found for w in set(words) if (found := lexicon.match(w))}
     out = []
-    for i, (start, end, word) in enumerate(spans):
-        found = lexicon.match(word)
-        if found:
-            near = spans[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            before, after = text[max(0, near[0][0] - 1) : start], text[end : near[-1][1] + 1]
-            quoted = is_quoted(before, after)
-            around = {w for _, _, w in near}
-            weight = lexicon.terms[found[0]] * (0.25 if quoted else 1.0) * (0.5 if around & REPORTING else 1.0) * (1.5 if around & ADDRESS else 1.0)
-            out.append((start, end, found[0], found[1], weight, quoted))
+    for i, word in enumerate(words):
+        if word in near_terms:
+            (term, edits), (start, end) = near_terms[word], spans[i]
+            first, last = max(0, i - CONTEXT), min(len(words), i + CONTEXT + 1)
+            quoted = is_quoted(text[max(0, spans[first][0] - 1) : start], text[end : spans[last - 1][1] + 1])
+            around = set(words[first:last])
+            weight = lexicon.terms[term] * (0.25 if quoted else 1.0) * (0.5 if around & REPORTING else 1.0) * (1.5 if around & ADDRESS else 1.0)
+            out.append((start, end, term, edits, weight, quoted))
     return out, len(words)
 
 
