@@ -53,7 +53,8 @@ class WordTokenizer:
 
     A space before a visible character always starts a new word under the splitting rule, so ids of
     the words between spaces can be kept and joined. Two tables of at most ``2 * max_words`` words
-    each are kept, which changes memory and time but no result. Files of another kind, and texts
+    each are kept (words after a space, and the parts of those that are not letters alone), which
+    changes memory and time but no result. Files of another kind, and texts
     that hold an added token or odd white space, are encoded by the library as a whole.
     """
 
@@ -77,7 +78,7 @@ class WordTokenizer:
             self.space = self.letters[32]
             self.split = regex.compile(PRETOKENS).findall
             self.short = _Kept(self._token, max_words)
-            self.words = _Kept(lambda piece: self._piece(" " + piece), max_words)
+            self.words = _Kept(self._word, max_words)
 
     def _library(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -89,15 +90,19 @@ class WordTokenizer:
             shown = word.encode().decode("latin-1").translate(self.letters)
         return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and the word after it."""
+        if word.isascii() or _PLAIN.fullmatch(word):
+            # A space and letters are one word of the splitting rule, and a stop or comma after them another.
+            if word.isalpha():
+                return self._token(" " + word)
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.short[word[-1]]
+        return self._piece(" " + word)
+
     def _piece(self, piece: str) -> bytes:
         if not (piece.isascii() or _PLAIN.fullmatch(piece)):
             return self._library(piece)
-        # A space and letters are one word of the splitting rule, and a stop or comma after them another.
-        spaced = piece[0] == " "
-        if spaced and piece[1:].isalpha():
-            return self.short[piece]
-        if spaced and piece[1:-1].isalpha() and piece[-1] in ".,":
-            return self.short[piece[:-1]] + self.short[piece[-1]]
         return b"".join(map(self.short.__getitem__, self.split(piece)))
 
     def encode(self, text: str | None) -> bytes:
