@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from skygrain.operators import grids
 from skygrain.plans import catalogue
 
 
@@ -22,6 +23,33 @@ def test_every_station_is_observed(spark, tmp_path):
     assert gated.groupBy("station_id").agg(F.countDistinct("tag").alias("n")).filter("n = 6").count() == 30
 
 
+def _many_stations(spark, tmp_path):
+    """24001 stations, one without a key, and 60 granules of one file, one of them without a key."""
+    _put(spark, tmp_path, "supplier", [(i * 7919,) for i in range(24_000)] + [(None,)], "s_suppkey long")
+    spark.createDataFrame([(i or None, [(i * 64 + k) / 8192 for k in range(64)]) for i in range(60)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+
+
+def _differences(found, spark, tmp_path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("supplier", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    con.execute(f"CREATE TABLE want AS {catalogue.ORACLES[name]}")
+    con.execute(f"CREATE TABLE found AS SELECT {', '.join(found.columns)} FROM '{tmp_path}/out-{name}/*.parquet'")
+    return con.execute("SELECT (SELECT count(*) FROM (FROM want EXCEPT ALL FROM found)) + (SELECT count(*) FROM (FROM found EXCEPT ALL FROM want))").fetchone()[0]
+
+
+def test_lookups_of_many_stations_take_little_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grids, "TASK_ROWS", 500_000, raising=False)
+    _many_stations(spark, tmp_path)
+    found = catalogue.raster_point_lookup(spark, str(tmp_path))
+    found.write.parquet(f"{tmp_path}/out-raster_point_lookup")
+    size = sum(f.stat().st_size for f in (tmp_path / "out-raster_point_lookup").glob("*.parquet"))
+    assert size < 2.5 * 24_001 * 60, size
+    assert _differences(found, spark, tmp_path, "raster_point_lookup") == 0
+
+
 def test_gaps_of_all_arrivals(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     hours = [*range(0, 10), *range(20, 30), *range(60, 70)]  # gaps of 10 and 30 hours; the subset would have more
