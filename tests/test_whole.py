@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from skygrain.operators import grids
@@ -50,6 +51,17 @@ def test_lookups_of_many_stations_take_little_disk(spark, tmp_path, monkeypatch)
     assert _differences(found, spark, tmp_path, "raster_point_lookup") == 0
 
 
+def test_observations_of_many_stations_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grids, "TASK_ROWS", 500_000, raising=False)
+    _many_stations(spark, tmp_path)
+    found = catalogue.station_observations(spark, str(tmp_path))
+    found.write.parquet(f"{tmp_path}/out-station_observations")
+    rows = [pq.read_metadata(f).num_rows for f in (tmp_path / "out-station_observations").glob("*.parquet")]
+    assert sum(rows) == 24_001 * 60 * 6
+    assert max(rows) < sum(rows) / 4, rows
+    assert _differences(found, spark, tmp_path, "station_observations") == 0
+
+
 def test_gaps_of_all_arrivals(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     hours = [*range(0, 10), *range(20, 30), *range(60, 70)]  # gaps of 10 and 30 hours; the subset would have more
