@@ -7,7 +7,7 @@ import os
 import re
 import sys
 import zlib
-from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -17,6 +17,10 @@ from .common import release_memory
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space inside or at the end of white space: only there can a word's first space belong to the text before.
 _INNER_SPACE = re.compile(r"\s (?!\S)")
+#: The same where no two spaces meet: only what is rare in a text is looked at.
+_INNER_SPACE_AFTER = re.compile(r"[^\S ] (?!\S)")
+#: A line feed that other white space, or more than one line feed, stands beside: only there is it not a word of its own.
+_ODD_FEED = re.compile(r"\n(?:(?<=[^\S\n]\n)|[^\S\n ]|\n(?:\s|\Z))")
 #: Texts of other scripts go through the library whole, so that its own tables of letters decide.
 _PLAIN = re.compile(r"[\x00-ɏ‐-‧]*")
 
@@ -52,7 +56,8 @@ class WordTokenizer:
     """Encodes whole texts to little-endian ids, exactly as the library's encode without special tokens.
 
     A space before a visible character always starts a new word under the splitting rule, so ids of
-    the words between spaces can be kept and joined. Two tables of at most ``2 * max_words`` words
+    the words between spaces can be kept and joined. A line feed alone is a word too, so texts are cut
+    there as well, and what follows it is kept by its name with the line feed. Two tables of at most ``2 * max_words`` words
     each are kept (words after a space, and the parts of those that are not letters alone), which
     changes memory and time but no result. Files of another kind, and texts
     that hold an added token or odd white space, are encoded by the library as a whole.
@@ -74,8 +79,10 @@ class WordTokenizer:
         self.words: _Kept | None = None
         if simple and sys.byteorder == "little":
             self.model = self.whole.model  # shared with the whole tokenizer, not a second one
-            self.letters = _byte_letters()
+            letters = _byte_letters()
+            self.letters = "".join(letters[b] for b in range(256))
             self.space = self.letters[32]
+            self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
             self.split = regex.compile(PRETOKENS).findall
             self.short = _Kept(self._token, max_words)
             self.words = _Kept(self._word, max_words)
@@ -83,19 +90,26 @@ class WordTokenizer:
     def _library(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _ids(self, shown: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(shown)])
+
     def _token(self, word: str) -> bytes:
         if word.isascii() and word[1:].isalnum():
-            shown = self.space + word[1:] if word[0] == " " else word
-        else:
-            shown = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.dtype.char, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            return self._ids(self.space + word[1:] if word[0] == " " else word)
+        return self._ids(charmap_decode(word.encode(), "strict", self.letters)[0])
 
     def _word(self, word: str) -> bytes:
-        """Ids of a space and the word after it."""
-        if word.isascii() or _PLAIN.fullmatch(word):
+        """Ids of a space and the word after it; of a word that begins with a line feed, ids of the line feed and what follows, without a space."""
+        if word[:1] == "\n":
+            after = word[1:]
+            if (after.isascii() or _PLAIN.fullmatch(after)) and after.isalpha():
+                return self.short["\n"] + self.short[after]
+            return self.short["\n"] + (self._piece(after) if after else b"")
+        if (ascii := word.isascii()) or _PLAIN.fullmatch(word):
             # A space and letters are one word of the splitting rule, and a stop or comma after them another.
             if word.isalpha():
-                return self._token(" " + word)
+                return self._ids(self.space + word) if ascii else self._token(" " + word)
             if word[-1:] in (".", ",") and word[:-1].isalpha():
                 return self.words[word[:-1]] + self.short[word[-1]]
         return self._piece(" " + word)
@@ -108,8 +122,14 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.words is None or _INNER_SPACE.search(text) or any(t in text for t in self.added):
+        inner = _INNER_SPACE if "  " in text else _INNER_SPACE_AFTER
+        if self.words is None or inner.search(text) or any(t in text for t in self.added):
             return self._library(text)
+        if "\n" in text:
+            if _ODD_FEED.search(text):
+                first, *rest = text.split(" ")
+                return (self._piece(first) if first else b"") + b"".join([self._piece(" " + w) if w[:1] == "\n" else self.words[w] for w in rest])
+            text = text.replace("\n", " \n")
         first, *rest = text.split(" ")
         return (self._piece(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
 

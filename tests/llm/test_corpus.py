@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out accuracy, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -90,6 +91,18 @@ def test_secrets(spark, empty):
     assert secrets.digest(secrets.find_secrets(empty)).count() == 0
 
 
+def test_words_beside_line_feeds_are_kept_once():
+    tok = tokens.WordTokenizer(tokens.default_path())
+    ends, starts = [f"end{chr(97 + i)}" for i in range(26)], [f"été{chr(97 + i)}" for i in range(26)]
+    text = " ".join(f"{a}\n{b}" for a in ends for b in starts)
+    assert tok.encode(text) == tok._library(text)
+    assert len(tok.words) < 100  # not one for each of the 676 pairs
+    parts = ["", "\n", " ", "\t", "\r", "\u3000", "\x1c", "a", "été", "漢", "'s", "1", "."]
+    for odd in ("".join(x) for x in itertools.product(parts, repeat=4)):
+        for t in (odd, f"b{odd}c", f"b\n{odd}"):
+            assert tok.encode(t) == tok._library(t), repr(t)
+
+
 def test_tokens_and_records(spark, docs, empty):
     path = tokens.default_path()
     tok = tokens.WordTokenizer(path, max_words=50)
