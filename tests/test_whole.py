@@ -62,6 +62,17 @@ def test_observations_of_many_stations_are_dealt_out(spark, tmp_path, monkeypatc
     assert _differences(found, spark, tmp_path, "station_observations") == 0
 
 
+def test_observations_of_many_stations_are_short(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grids, "TASK_ROWS", 4_000_000, raising=False)
+    _many_stations(spark, tmp_path)
+    found = catalogue.station_observations(spark, str(tmp_path))
+    assert "cast(granule_id" not in found._jdf.queryExecution().optimizedPlan().toString()  # else parsed for every row
+    found.write.parquet(f"{tmp_path}/out-station_observations")
+    size = sum(f.stat().st_size for f in (tmp_path / "out-station_observations").glob("*.parquet"))
+    assert size < 0.5 * 24_001 * 60 * 6, size
+    assert _differences(found, spark, tmp_path, "station_observations") == 0
+
+
 def test_gaps_of_all_arrivals(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     hours = [*range(0, 10), *range(20, 30), *range(60, 70)]  # gaps of 10 and 30 hours; the subset would have more
